@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tallyfold.session import stored
+
 
 def _count_up(rows: DataFrame, entity: str, order: list[str]) -> DataFrame:
     """``rows`` with ``number``, how many rows with is_change = 1 lie at or before each within its entity."""
@@ -32,7 +34,7 @@ def version_numbers(
     gives its epoch. Then valid time: within the epochs that any point asks for, changes on record are counted up to
     each at. Returns ``(entity, at, known_at, number)`` for the points that see something, and ``(entity, number, order)``.
     Rows of an entity are reduced to one per distinct time before any sort, so a hot entity sorts distinct times, not rows.
-    Cost: per entity, changes with distinct times times epochs asked for.
+    The narrow tables that are read more than once are stored in between. Cost: per entity, changes with distinct times times epochs asked for.
     """
     asked = points.where(F.col(entity).isNotNull() & F.col(at).isNotNull() & F.col(known_at).isNotNull()).select(entity, at, known_at).distinct()
     narrow = (
@@ -41,12 +43,13 @@ def version_numbers(
         .groupBy(entity, F.col(holds_from).alias("t"), F.col(known_from).alias("r"), F.col(known_until).alias("v"))
         .agg(F.max(order).alias("o"))
     )
+    narrow = stored(narrow, "changes")
     moments = (
         narrow.select(entity, F.explode(F.array("r", "v")).alias("r")).where(F.col("r").isNotNull()).distinct()
         .select(entity, "r", F.lit(1).alias("is_change"), F.lit(None).cast(points.schema[at].dataType).alias("t"))
     )
     epochs = _count_up(moments.unionByName(asked.select(entity, F.col(known_at).alias("r"), F.lit(0).alias("is_change"), F.col(at).alias("t"))), entity, ["r"])
-    asking = epochs.where((F.col("is_change") == 0) & (F.col("number") > 0)).select(entity, F.col("number").alias("epoch"), "t", "r")
+    asking = stored(epochs.where((F.col("is_change") == 0) & (F.col("number") > 0)).select(entity, F.col("number").alias("epoch"), "t", "r"), "epochs")
     # all known_at of one epoch see the same changes, so any of them stands for it
     used = asking.groupBy(entity, "epoch").agg(F.min("r").alias("now"))
     on_record = (
@@ -59,6 +62,7 @@ def version_numbers(
     # the first number of the epoch, so that a point before all changes of its epoch does not see the epoch before
     in_epoch = W.partitionBy(entity, "epoch").orderBy("t", F.col("is_change").desc()).rowsBetween(W.unboundedPreceding, W.currentRow)
     numbered = _count_up(both, entity, ["epoch", "t"]).withColumn("own", F.sum("is_change").over(in_epoch))
+    numbered = stored(numbered, "numbers")
     sees = numbered.where((F.col("is_change") == 0) & (F.col("own") > 0)).select(entity, F.col("t").alias(at), F.col("r").alias(known_at), "number")
     versions = numbered.where(F.col("is_change") == 1).select(entity, "number", F.col("o").alias(order))
     return sees, versions

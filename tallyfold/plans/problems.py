@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyfold.operators import as_known, change_feed, deliveries, intervals, late_events, snapshots
+from tallyfold.session import stored
 from tallyfold.sources.tables import known, load, without_codes
 
 #: Event types of the ledger.
@@ -59,7 +60,7 @@ def p4_known(spark: SparkSession, folder: str) -> DataFrame:
     ledger = load(spark, folder, "ledger")
     ids = [PERSON, HOUSEHOLD, DWELLING]
     voided = deliveries.withdrawals(ledger, EVENT, VOIDS, "recorded_tick")
-    first = first_events(ledger, [BIRTH, FORMED, MOVED, ADMITTED], ["tick", "event_type", *ids], ids)
+    first = stored(first_events(ledger, [BIRTH, FORMED, MOVED, ADMITTED], ["tick", "event_type", *ids], ids), "first")
     admissions = first.where(F.col("event_type") == ADMITTED).select(EVENT, "tick", "recorded_tick", PERSON)
     changes = first.where(F.col("event_type").isin(BIRTH, FORMED, MOVED)).join(voided, EVENT, "left")
     changes = changes.select(F.col(EVENT).alias("o"), F.col("tick").alias("holds"), F.col("recorded_tick").alias("known"), F.col("withdrawn_at").alias("void"), "event_type", *ids)
@@ -70,6 +71,7 @@ def p4_known(spark: SparkSession, folder: str) -> DataFrame:
     of_household = changes.where(F.col("event_type").isin(FORMED, MOVED)).select(HOUSEHOLD, "holds", "o", "known", "void", F.col(DWELLING).alias("seen_dwelling"))
     housed = as_known.as_known(admissions, of_person, PERSON, "tick", "recorded_tick", ["seen_household"], *where, seen="in_ledger").join(person, PERSON, "left")
     housed = housed.withColumn(HOUSEHOLD, F.when(F.col("in_ledger"), F.col("seen_household")).otherwise(F.col("base_household"))).drop("in_ledger")
+    housed = stored(housed, "housed")
     dwelt = as_known.as_known(housed, of_household, HOUSEHOLD, "tick", "recorded_tick", ["seen_dwelling"], *where, seen="in_ledger")
     current = household.select(F.col("h").alias(HOUSEHOLD), F.col("base_dwelling").alias("listed_dwelling"))
     dwelt = dwelt.join(current, HOUSEHOLD, "left").join(household.withColumnRenamed("h", "base_household"), "base_household", "left")
