@@ -3,14 +3,30 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyfold.llm import leakage
-from tallyfold.sources.tables import load
+from tallyfold.llm import leakage, linkage
+from tallyfold.sources.tables import load, without_codes
+
+
+def register(spark: SparkSession, folder: str, name: str, entity: str) -> DataFrame:
+    rows = without_codes(load(spark, folder, name), ids=[entity, "household_id", "given_code", "family_code"], codes=["sex", "county"])
+    return linkage.records(rows, entity, "given_code", "family_code", "birth_tick", "sex", "county", "household_id")
+
+
+def p1_links(spark: SparkSession, folder: str) -> DataFrame:
+    """Every candidate pair with its confidence."""
+    pairs = linkage.link(register(spark, folder, "population", "person_id"), register(spark, folder, "income", "taxpayer_id"))
+    return pairs.select(F.col("id_a").alias("person_id"), F.col("id_b").alias("taxpayer_id"), "confidence")
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p1_links(spark, folder).where(F.col("confidence") >= 0.5).select("person_id", "taxpayer_id")
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.leaked_items(load(spark, folder, "documents"), load(spark, folder, "test_items"))
 
 
-QUERIES = {"p7_found": p7_found}
+QUERIES = {"p1_found": p1_found, "p1_links": p1_links, "p7_found": p7_found}
 ORACLES: dict[str, str] = {}
