@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyfold.session import stored
+
 #: Rows that one leaf of the tree is meant to hold, and the most levels a tree gets.
 ROWS_PER_LEAF, FAN_OUT, MAX_LEVELS = 64, 16, 6
 
@@ -39,7 +41,12 @@ def leaf_digests(snapshot: DataFrame, key: str, content: list[str], levels: int)
 
 
 def differing_leaves(before: DataFrame, after: DataFrame, levels: int) -> DataFrame:
-    """Leaves whose digests differ, found from the root down: children are compared only below a differing parent."""
+    """Leaves whose digests differ, found from the root down: children are compared only below a differing parent.
+
+    The digests are stored, one row per leaf, and so are the differing nodes of each level; equal snapshots end at the top.
+    """
+    before, after = stored(before, "leaves"), stored(after, "leaves")
+
     def level(leaves: DataFrame, depth: int) -> DataFrame:
         node = F.shiftrightunsigned("leaf", 4 * (levels - depth)).alias("leaf")
         return leaves if depth == levels else leaves.groupBy(node).agg(*_combined("h1", "h2"))
@@ -53,7 +60,9 @@ def differing_leaves(before: DataFrame, after: DataFrame, levels: int) -> DataFr
             a, b = (x.withColumn("parent", parent).join(up, "parent", "left_semi").drop("parent") for x in (a, b))
         a = a.select("leaf", F.struct("rows", "h1", "h2").alias("a"))
         b = b.select("leaf", F.struct("rows", "h1", "h2").alias("b"))
-        differ = a.join(b, "leaf", "full").where(~F.col("a").eqNullSafe(F.col("b"))).select("leaf")
+        differ = stored(a.join(b, "leaf", "full").where(~F.col("a").eqNullSafe(F.col("b"))).select("leaf"), "nodes")
+        if differ.isEmpty():
+            break
     return differ
 
 

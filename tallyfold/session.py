@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -34,3 +36,8 @@ def stored(df: DataFrame, label: str = "table") -> DataFrame:
     folder = f"{checkpoint_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def sent_by_value(module: str) -> None:
+    """Let Arrow functions of ``module`` travel to the executors whole, where this package need not be installed."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])
