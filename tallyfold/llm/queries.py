@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm import leakage, linkage
+from tallyfold.llm import leakage, linkage, quality
 from tallyfold.sources.tables import load, without_codes
 
 
@@ -28,5 +28,21 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.leaked_items(load(spark, folder, "documents"), load(spark, folder, "test_items"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_links": p1_links, "p7_found": p7_found}
-ORACLES: dict[str, str] = {}
+def p9_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.document_statistics(load(spark, folder, "documents"))
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.junk_shares(load(spark, folder, "documents")).where(F.col("junk_share") > 0.5).select("doc_id")
+
+
+QUERIES = {"p1_found": p1_found, "p1_links": p1_links, "p7_found": p7_found, "p9_found": p9_found, "p9_statistics": p9_statistics}
+ORACLES: dict[str, str] = {
+    "p9_statistics": r"""WITH w AS (SELECT doc_id, text, regexp_extract_all(text, '\p{L}+') AS w,
+  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\S')) AS lines FROM documents)
+SELECT doc_id, len(w) AS n_words, list_sum(list_transform(w, lambda x: length(x)))::double / nullif(len(w), 0) AS mean_word_length,
+  length(regexp_replace(text, '[\p{L}\p{N}\s]+', '', 'g'))::double / nullif(length(text), 0) AS symbol_ratio,
+  len(regexp_extract_all(text, '[.!?…][''")]*[ \t\r]*(\n|$)'))::double / nullif(len(lines), 0) AS punctuated_lines,
+  len(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), lambda x: x IN (COMMON)))::double / nullif(len(w), 0) AS common_words
+FROM w""".replace("COMMON", ", ".join(f"'{w}'" for w in sorted(set(quality.COMMON_WORDS)))),
+}
