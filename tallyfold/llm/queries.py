@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm import leakage, linkage, quality
+from tallyfold.llm import leakage, linkage, mixing, quality
 from tallyfold.sources.tables import load, without_codes
 
 
@@ -28,6 +28,23 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.leaked_items(load(spark, folder, "documents"), load(spark, folder, "test_items"))
 
 
+#: A public tokenizer's file on every machine; another path may be set in the session.
+TOKENIZER_FILE = "/opt/tokenizers/byte_bpe_50k.json"
+
+
+def mixture(spark: SparkSession, folder: str) -> mixing.Mixture:
+    tokenizer = spark.conf.get("spark.tallyfold.tokenizer", TOKENIZER_FILE)
+    return mixing.mix(load(spark, folder, "documents"), load(spark, folder, "mix_targets"), tokenizer)
+
+
+def p8_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    return mixture(spark, folder).rows
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return mixture(spark, folder).report
+
+
 def p9_statistics(spark: SparkSession, folder: str) -> DataFrame:
     return quality.document_statistics(load(spark, folder, "documents"))
 
@@ -36,7 +53,7 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return quality.junk_shares(load(spark, folder, "documents")).where(F.col("junk_share") > 0.5).select("doc_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_links": p1_links, "p7_found": p7_found, "p9_found": p9_found, "p9_statistics": p9_statistics}
+QUERIES = {"p1_found": p1_found, "p1_links": p1_links, "p7_found": p7_found, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_statistics": p9_statistics}
 ORACLES: dict[str, str] = {
     "p9_statistics": r"""WITH w AS (SELECT doc_id, text, regexp_extract_all(text, '\p{L}+') AS w,
   list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\S')) AS lines FROM documents)
