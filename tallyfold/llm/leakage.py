@@ -1,121 +1,245 @@
-"""Passages of held-out texts inside a corpus, by a positional inverted index.
+"""Passages of held-out texts inside a corpus, by a distributed positional inverted index.
 
-The corpus is indexed in segments: every task writes the postings (term, document, position) of its own documents,
-sorted by term, so building the index shuffles nothing and a lookup of a few terms skips most of a segment. A passage
-search intersects lists shifted by their offsets, starting from the rarest terms of each stretch of a test item.
+The corpus is indexed in segments, each holding the positional postings of a bounded number of words of whole
+documents. A segment is built and searched by one task, so neither shuffles the corpus; only the frequencies of terms
+are gathered. A search intersects lists shifted by their offsets, from the rarest terms of each stretch of a test
+item, and then compares item and document word by word around the diagonals found.
 """
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
 
+from tallyfold.llm import words as _words
 from tallyfold.llm.words import words
-from tallyfold.session import checkpoint_dir
-
-#: Distinct words of the test items up to which their vocabulary is sent to every task. Beyond it the joins shuffle.
-VOCABULARY_TO_BROADCAST = 2_000_000
-
-
-def item_words(items: DataFrame, item_id: str, text: str) -> DataFrame:
-    """One row per word of each item: ``item, spot, term``. An id that occurs with several texts keeps them apart
-    (``text_mark``); repeated rows count once; NULL ids and texts are left out."""
-    rows = items.where(F.col(item_id).isNotNull() & F.col(text).isNotNull()).select(F.col(item_id).alias("item"), F.xxhash64(text).alias("text_mark"), words(text).alias("w")).distinct()
-    return rows.select("item", "text_mark", F.posexplode("w").alias("spot", "word")).withColumn("term", F.xxhash64("word")).drop("word")
+from tallyfold.session import sent_by_value, stored
+
+sent_by_value(__name__)
+sent_by_value(_words.__name__)
+
+#: Words after which a segment is closed; a longer document is a segment of its own.
+SEGMENT_WORDS = 1_000_000
+#: Words of test items that are sent to the tasks at once. More items are searched in blocks, each against all segments.
+BLOCK_WORDS = 5_000_000
+
+
+def _segment(docs: list, texts: list[np.ndarray], vocabulary: list[str]) -> dict:
+    """Postings of one segment: the lists of all terms one after the other, each by document and position."""
+    lengths = np.array([len(t) for t in texts])
+    term, row = np.concatenate(texts), np.repeat(np.arange(len(texts)), lengths)
+    position = np.arange(len(term)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    known = term >= 0
+    term, row, position = term[known], row[known], position[known]
+    order = np.argsort(term, kind="stable")
+    used, counts = np.unique(term, return_counts=True)
+    return {
+        "docs": docs, "lengths": lengths.astype(np.int32), "terms": [vocabulary[i] for i in used], "counts": counts.astype(np.int32),
+        "rows": row[order].astype(np.int32), "positions": position[order].astype(np.int32),
+    }
+
+
+def build_index(docs: DataFrame, doc_id: str, text: str, vocabulary: set[str] | None = None) -> DataFrame:
+    """The stored index: one row per segment with ``docs, lengths, terms, counts, rows, positions``.
+
+    List i belongs to ``terms[i]``, has ``counts[i]`` postings and follows list i - 1 in ``rows`` (which document of the
+    segment) and ``positions`` (which word of it). With a ``vocabulary`` only its words are kept; positions count all
+    words. Rows without id or text are left out, repeated rows are indexed each. Whole texts, however long.
+    """
+    kind = docs.schema[doc_id].dataType
+
+    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = sorted(vocabulary) if vocabulary is not None else []
+        ids = {w: i for i, w in enumerate(names)}
+        held, texts, size = [], [], 0
+        for batch in batches:
+            for doc, t in zip(batch["doc"], batch["text"], strict=True):
+                ws = words(t)
+                if vocabulary is None:
+                    for w in ws:
+                        if w not in ids:
+                            ids[w] = len(names)
+                            names.append(w)
+                held.append(doc)
+                texts.append(np.array([ids.get(w, -1) for w in ws], np.int32))
+                size += len(ws)
+                if size >= SEGMENT_WORDS:
+                    yield pd.DataFrame([_segment(held, texts, names)])
+                    held, texts, size = [], [], 0
+        if size:
+            yield pd.DataFrame([_segment(held, texts, names)])
+
+    numbers = T.ArrayType(T.IntegerType())
+    schema = T.StructType([
+        T.StructField("docs", T.ArrayType(kind)), T.StructField("lengths", numbers), T.StructField("terms", T.ArrayType(T.StringType())),
+        T.StructField("counts", numbers), T.StructField("rows", numbers), T.StructField("positions", numbers),
+    ])
+    rows = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("doc"), F.col(text).alias("text"))
+    return stored(rows.mapInPandas(build, schema), "postings")
+
+
+def term_frequencies(index: DataFrame) -> DataFrame:
+    """``term, n``: how often each term occurs in the whole corpus; combined on the map side."""
+    lists = index.select(F.explode(F.arrays_zip("terms", "counts")).alias("z"))
+    return lists.groupBy(F.col("z.terms").alias("term")).agg(F.sum("z.counts").alias("n"))
+
+
+def _anchors(item: list[str], frequency: dict[str, int], run: int) -> list[tuple[int, int]]:
+    """The spots of the rarest and second rarest word of every run of an item that can occur, each pair once."""
+    rare = [frequency.get(w, 0) for w in item]
+    found = set()
+    for start in range(len(item) - run + 1):
+        order = sorted(range(start, start + run), key=lambda i: (rare[i], i))
+        if rare[order[0]] > 0:
+            found.add((order[0], order[min(1, run - 1)]))
+    return sorted(found)
+
+
+def _runs(same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each spot the length of the run of equal words that ends there, and of the one that starts there."""
+    at = np.arange(1, len(same) + 1)
+    ending = at - np.maximum.accumulate(np.where(same, 0, at))
+    back = at - np.maximum.accumulate(np.where(same[::-1], 0, at))
+    return ending, back[::-1]
+
+
+def best_stretch(item: np.ndarray, doc: np.ndarray, shift: int, edits: int) -> tuple[int, int]:
+    """The longest stretch of item words around a diagonal, with at most ``edits`` (0 or 1) words inside altered, left
+    out or added, as (number of words, spot of its last word before the edit)."""
+    n = len(item)
+    ends, starts = {}, {}
+    for d in (shift - 1, shift, shift + 1):
+        place = np.arange(n) + d
+        inside = (place >= 0) & (place < len(doc))
+        ends[d], starts[d] = _runs(inside & (item == doc[np.clip(place, 0, max(len(doc) - 1, 0))]))
+    best, spot = int(ends[shift].max()), int(ends[shift].argmax())
+    if edits:
+        # (diagonal of the first run, of the second, words between them in the item): altered, left out, added
+        for a, b, skip in ((shift, shift, 1), (shift, shift - 1, 1), (shift + 1, shift, 1), (shift, shift + 1, 0), (shift - 1, shift, 0)):
+            first, second = ends[a][: n - 1 - skip], starts[b][1 + skip :]
+            total = np.where((first > 0) & (second > 0), first + skip + second, 0)
+            if len(total) and total.max() > best:
+                best, spot = int(total.max()), int(total.argmax())
+    return best, spot
+
+
+def _search(segment: dict, items: list[tuple], plans: dict, length: int, edits: int) -> list[tuple]:
+    """Matches of one block of items in one segment: (document row, item number, words, spot, position)."""
+    place = {t: i for i, t in enumerate(segment["terms"])}
+    counts, rows, positions = (np.asarray(segment[k]).astype(np.int64) for k in ("counts", "rows", "positions"))
+    ends = np.cumsum(counts)
+    wide = np.int64(1) << 32
+    starts: dict[int, set] = {}
+
+    def shifted(word: str, spot: int) -> np.ndarray | None:
+        i = place.get(word)
+        if i is None:
+            return None
+        part = slice(ends[i] - counts[i], ends[i])
+        return rows[part] * wide + positions[part] - spot + (1 << 20)
+
+    for (word_a, word_b, gap), users in plans.items():
+        a = shifted(word_a, 0)
+        b = shifted(word_b, gap) if a is not None else None
+        if b is None:
+            continue
+        for key in np.intersect1d(a, b, assume_unique=True):
+            for number, spot in users:
+                starts.setdefault(int(key >> 32), set()).add((number, int(key & (wide - 1)) - (1 << 20) - spot))
+    if not starts:
+        return []
+    # the documents concerned, written out again from their postings
+    chosen = np.zeros(len(segment["docs"]), bool)
+    chosen[list(starts)] = True
+    kept = chosen[rows]
+    term = np.repeat(np.arange(len(counts)), counts)[kept]
+    row, position = rows[kept], positions[kept]
+    order = np.lexsort((position, row))
+    term, row, position = term[order], row[order], position[order]
+    found = []
+    for r, diagonals in starts.items():
+        lo, hi = np.searchsorted(row, [r, r + 1])
+        doc = np.full(int(segment["lengths"][r]), -1)
+        doc[position[lo:hi]] = term[lo:hi]
+        for number, shift in diagonals:
+            item = np.array([place.get(w, -2) for w in items[number][1]])
+            n, spot = best_stretch(item, doc, shift, edits)
+            if n >= length:
+                found.append((r, number, n, spot, spot + shift))
+    return found
 
 
-def postings(docs: DataFrame, doc_id: str, text: str, vocabulary: DataFrame | None = None) -> DataFrame:
-    """``term, doc, mark, position`` for every word of every text, or for the words in ``vocabulary`` (column term).
+def passages(index: DataFrame, items: list[tuple], frequency: dict[str, int], item_type: T.DataType, length: int, edits: int = 1) -> DataFrame:
+    """Stretches of at least ``length`` successive words of an item that a document holds, exactly or (``edits=1``) with
+    one word inside altered, left out or added: ``doc, item, n_words, spot, position``, the longest of each diagonal.
 
-    ``mark`` tells apart several texts that share a document id. Whole texts are indexed, however long.
-    """
-    rows = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("doc"), F.hash(text).alias("mark"), words(text).alias("w"))
-    rows = rows.select("doc", "mark", F.posexplode("w").alias("position", "word")).select(F.xxhash64("word").alias("term"), "doc", "mark", "position")
-    if vocabulary is None:
-        return rows
-    known = vocabulary.select("term").distinct()
-    return rows.join(F.broadcast(known) if known.count() <= VOCABULARY_TO_BROADCAST else known, "term", "left_semi")
-
-
-def write_index(index: DataFrame, folder: str | None = None) -> DataFrame:
-    """Store postings as Parquet segments sorted by term and read them back; by default under the checkpoint folder."""
-    spark = index.sparkSession
-    folder = folder or f"{checkpoint_dir(spark)}/postings-{uuid.uuid4().hex}"
-    index.sortWithinPartitions("term", "doc", "position").write.parquet(folder)
-    return spark.read.schema(T.StructType(index.schema.fields)).parquet(folder)
-
-
-def _anchors(item_terms: DataFrame, frequency: DataFrame, stretch: int) -> DataFrame:
-    """For every stretch of ``stretch`` words of an item the spots of its rarest and second rarest word."""
-    rated = item_terms.join(frequency, "term", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
-    cell = F.struct("n", "spot", "term")
-    run = W.partitionBy("item", "text_mark").orderBy("spot").rowsBetween(0, stretch - 1)
-    seen = rated.withColumn("window", F.array_sort(F.collect_list(cell).over(run))).where(F.size("window") == stretch)
-    a, b = F.col("window")[0], F.col("window")[1]
-    # a stretch with a word that no document has cannot occur
-    return seen.where(a["n"] > 0).select(
-        "item", "text_mark", a["term"].alias("term_a"), a["spot"].alias("spot_a"), b["term"].alias("term_b"), b["spot"].alias("spot_b")
-    ).distinct()
-
-
-def passages(index: DataFrame, item_terms: DataFrame, length: int, edits: int = 1) -> DataFrame:
-    """Stretches of at least ``length`` successive item words that a document holds, exactly or (``edits=1``) with one
-    word inside altered, left out or added: ``doc, mark, item, text_mark, spot, position, n_words``.
-
-    Some exact run of ``(length - edits + 1) // (edits + 1)`` words (rounded up) is in every such stretch, so a
-    document is a candidate where the two rarest words of such a run stand at the right distance; lists of terms are
-    shifted by their spot in the item and intersected. Candidates are then compared word by word in a band of one
-    around their diagonal, from the postings alone. The item side is reduced before it meets the index, joins are by
-    term or document, and no list is ever held in one row. Every stretch found is returned, overlapping ones as well.
+    Some exact run of half the unaltered words is in every such stretch, so a document is a candidate where the two
+    rarest words of such a run stand at the right distance. ``items`` are (id, words) of one block. Every candidate is
+    compared, every match returned; a segment is searched by one task and nothing is shuffled.
     """
     if edits not in (0, 1):
         raise ValueError("edits must be 0 or 1")
     run = -(-(length - edits) // (edits + 1))
-    known = item_terms.select("term").distinct()
-    frequency = index.groupBy("term").agg(F.count(F.lit(1)).alias("n")).join(known, "term", "left_semi")
-    anchors = _anchors(item_terms, frequency, max(run, 2))
-    sides = anchors.select("item", "text_mark", "spot_a", "spot_b", F.explode(F.array(F.struct(F.col("term_a").alias("term"), F.col("spot_a").alias("spot")), F.struct(F.col("term_b").alias("term"), F.col("spot_b").alias("spot")))).alias("s"))
-    sides = sides.select("item", "text_mark", "spot_a", "spot_b", "s.term", "s.spot").distinct()
-    hits = (
-        index.join(sides, "term").withColumn("shift", F.col("position") - F.col("spot"))
-        .groupBy("doc", "mark", "item", "text_mark", "spot_a", "spot_b", "shift").agg(F.count_distinct("spot").alias("n"))
-        .where(F.col("n") == 2).select("doc", "mark", "item", "text_mark", F.explode(F.array(F.col("shift") - 1, "shift", F.col("shift") + 1)).alias("shift")).distinct()
-    )
-    cells = (
-        index.join(hits, ["doc", "mark"]).withColumn("spot", F.col("position") - F.col("shift"))
-        .join(item_terms, ["item", "text_mark", "spot", "term"], "left_semi")
-        .select("doc", "mark", "item", "text_mark", "shift", "spot")
-    )
-    line = ["doc", "mark", "item", "text_mark", "shift"]
-    runs = (
-        cells.withColumn("run", F.col("spot") - F.dense_rank().over(W.partitionBy(*line).orderBy("spot")))
-        .groupBy(*line, "run").agg(F.min("spot").alias("from"), F.max("spot").alias("to")).drop("run")
-    )
-    exact = runs.select(*line[:4], F.col("from").alias("spot"), (F.col("from") + F.col("shift")).alias("position"), (F.col("to") - F.col("from") + 1).alias("n_words"))
-    found = exact.where(F.col("n_words") >= length)
-    if edits:
-        # the second run follows on the same diagonal (one altered), on the one below (one left out) or above (one added)
-        second = runs.select(*line[:4], F.explode(F.array(*[F.struct((F.col("shift") - d).alias("shift"), F.lit(d).alias("d")) for d in (-1, 0, 1)])).alias("z"), F.col("from").alias("from2"), F.col("to").alias("to2"))
-        second = second.select(*line[:4], "z.shift", "z.d", "from2", "to2")
-        joined = runs.join(second, line)
-        altered = (F.col("d") == 0) & (F.col("from2") == F.col("to") + 2)
-        left_out = (F.col("d") == -1) & (F.col("from2") > F.col("from")) & (F.col("from2") <= F.col("to") + 2) & (F.col("to2") > F.col("to") + 1)
-        added = (F.col("d") == 1) & (F.col("from2") > F.col("from")) & (F.col("from2") <= F.col("to") + 1) & (F.col("to2") > F.col("to"))
-        near = joined.where(altered | left_out | added).select(*line[:4], F.col("from").alias("spot"), (F.col("from") + F.col("shift")).alias("position"), (F.col("to2") - F.col("from") + 1).alias("n_words"))
-        found = found.unionByName(near.where(F.col("n_words") >= length))
-    return found
-
-
-def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", length: int = 16, edits: int = 1) -> DataFrame:
+    plans: dict[tuple[str, str, int], list[tuple[int, int]]] = {}
+    for number, (_, ws) in enumerate(items):
+        if len(ws) >= length:
+            for a, b in _anchors(ws, frequency, run):
+                plans.setdefault((ws[a], ws[b], b - a), []).append((number, a))
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for segment in batch.to_dict("records"):
+                found = _search(segment, items, plans, length, edits)
+                if found:
+                    r, number, n, spot, position = zip(*found, strict=True)
+                    yield pd.DataFrame({
+                        "doc": [segment["docs"][i] for i in r], "item": [items[i][0] for i in number],
+                        "n_words": np.array(n, np.int32), "spot": np.array(spot, np.int32), "position": np.array(position, np.int32),
+                    })
+
+    kind = index.schema["docs"].dataType.elementType
+    schema = T.StructType([T.StructField("doc", kind), T.StructField("item", item_type), *[T.StructField(c, T.IntegerType()) for c in ("n_words", "spot", "position")]])
+    return index.mapInPandas(search, schema)
+
+
+def _blocks(rows: Iterator, most: int) -> Iterator[list[tuple]]:
+    """Test items as (id, words), in blocks of at most ``most`` words."""
+    block, size = [], 0
+    for r in rows:
+        ws = words(r["text"])
+        if block and size + len(ws) > most:
+            yield block
+            block, size = [], 0
+        block.append((r["item"], ws))
+        size += len(ws)
+    if block:
+        yield block
+
+
+def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", length: int = 16, edits: int = 1, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The documents that hold a passage of a test item, and the item: ``doc_id, item_id``, distinct.
 
-    Items shorter than ``length`` words are in no pair. NULL or empty texts and NULL ids are in no pair; repeated rows
-    change nothing; extra columns are ignored; an empty table gives an empty result.
+    The corpus is indexed once (for the words of all items while those fit one block, else for all words); items are
+    read in blocks of ``block_words`` words, and each block is searched against every segment. Items shorter than
+    ``length`` words are in no pair, nor are NULL or empty texts and NULL ids; repeated rows change nothing; extra columns are ignored; an empty
+    table gives an empty result.
     """
-    terms = item_words(items, item_id, text)
-    index = write_index(postings(docs, doc_id, text, terms))
-    return passages(index, terms, length, edits).select(F.col("doc").alias(doc_id), F.col("item").alias(item_id)).distinct()
+    chosen = items.where(F.col(item_id).isNotNull() & F.col(text).isNotNull()).select(F.col(item_id).alias("item"), F.col(text).alias("text")).distinct()
+    blocks = _blocks(chosen.toLocalIterator(), block_words)
+    item_type = items.schema[item_id].dataType
+    first, second = next(blocks, []), next(blocks, None)
+    vocabulary = {w for _, ws in first for w in ws} if second is None else None
+    index = build_index(docs, doc_id, text, vocabulary)
+    frequencies = stored(term_frequencies(index), "frequencies")
+    found = None
+    for block in (b for b in (first, second, *blocks) if b is not None):
+        mine = sorted({w for _, ws in block for w in ws})
+        wanted = frequencies.join(F.broadcast(docs.sparkSession.createDataFrame([(w,) for w in mine], "term string")), "term", "left_semi")
+        part = passages(index, block, {r["term"]: r["n"] for r in wanted.toLocalIterator()}, item_type, length, edits)
+        found = part if found is None else found.unionByName(part)
+    return found.select(F.col("doc").alias(doc_id), F.col("item").alias(item_id)).distinct()
