@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyfold.operators.aggregates import order_statistic
 from tallyfold.session import sent_by_value
@@ -115,7 +116,7 @@ def recoverable_cells(cube: DataFrame, block: list[str], margins: list[list[str]
         space = basis[2][basis[1] > 1e-9]
         return pdf.assign(recoverable=(space**2).sum(0) > 1 - 1e-9)
 
-    return hidden.groupBy(*block).applyInPandas(test, hidden.schema.add("recoverable", "boolean"))
+    return hidden.groupBy(*block).applyInPandas(test, T.StructType([*hidden.schema.fields, T.StructField("recoverable", T.BooleanType())]))
 
 
 def allocation_regret(demand: DataFrame, unit: str, need: str, given: str) -> DataFrame:

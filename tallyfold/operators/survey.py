@@ -46,6 +46,44 @@ def response_weights(psus: DataFrame, by: list[str], covariate: str, responding:
     return raised.withColumn("response_weight", F.col("__w") * scale).drop("__w", "__p", "slope", "intercept")
 
 
+#: Cells of the margins together up to which they are fitted on the driver; more are fitted by joins.
+CELLS_ON_DRIVER = 50_000
+
+
+def _rake_small(cells: DataFrame, margins: list, sweeps: int, low: float, high: float) -> DataFrame:
+    """Fit at most ``CELLS_ON_DRIVER`` cell totals in memory."""
+    rows = cells.collect()
+    w = np.array([r["__w"] or 0.0 for r in rows])
+    whole = w.sum()
+    fits = []
+    for on, targets, target in margins:
+        goal = {tuple(r[k] for k in on): r[target] for r in targets.select(*on, target).collect() if (r[target] or 0) > 0}
+        at = {x: i for i, x in enumerate(goal)}
+        fits.append((np.array([-1 if None in (x := tuple(r[k] for k in on)) else at.get(x, -1) for r in rows], int), np.array(list(goal.values()), float)))
+    for _ in range(sweeps):
+        for group, goal in fits:
+            inside = group >= 0
+            now = np.bincount(group[inside], w[inside], len(goal))
+            factor = np.where(now > 0, np.clip(np.divide(goal, now, out=np.ones_like(goal), where=now > 0), low, high), 1.0)
+            w[inside] *= factor[group[inside]]
+        w *= whole / w.sum() if w.sum() else 1.0
+    return cells.sparkSession.createDataFrame([(*r[:-1], float(x)) for r, x in zip(rows, w, strict=True)], cells.schema)
+
+
+def _rake_large(cells: DataFrame, margins: list, sweeps: int, low: float, high: float) -> DataFrame:
+    """Fit any number of cell totals: each margin is an aggregation and a join, lineage is cut every sweep."""
+    whole = cells.agg(F.sum("__base").alias("t")).first()["t"] or 0.0
+    for _ in range(sweeps):
+        for on, targets, target in margins:
+            now = cells.groupBy(*on).agg(F.sum("__w").alias("__now"))
+            factor = now.join(targets.select(*on, F.col(target).alias("__t")), on).where((F.col("__t") > 0) & (F.col("__now") > 0))
+            factor = factor.select(*on, clip(F.col("__t") / F.col("__now"), low, high).alias("__f"))
+            cells = cells.join(factor, on, "left").withColumn("__w", F.col("__w") * F.coalesce("__f", F.lit(1.0))).drop("__f")
+        total = cells.agg(F.sum("__w").alias("__s"))
+        cells = cut(cells.crossJoin(F.broadcast(total)).withColumn("__w", F.col("__w") * F.lit(float(whole)) / F.nullif(F.col("__s"), F.lit(0.0))).drop("__s"))
+    return cells
+
+
 def rake(rows: DataFrame, weight: str, margins: list[tuple[list[str], DataFrame, str]], sweeps: int = 12, low: float = 0.25, high: float = 4.0) -> DataFrame:
     """``rows`` with ``raked``, the weight calibrated to margins (keys, targets, target column) by proportional fitting.
 
@@ -54,19 +92,10 @@ def rake(rows: DataFrame, weight: str, margins: list[tuple[list[str], DataFrame,
     without a positive target, and cells with a NULL key of the margin, are left alone. The total is restored after each sweep.
     """
     keys = list(dict.fromkeys(k for m in margins for k in m[0]))
-    cells = rows.groupBy(*keys).agg(F.sum(weight).alias("__base")).withColumn("__w", F.col("__base"))
-    cells = stored(cells.withColumn("__w", F.col("__w").cast("double")), "cells")
-    whole = cells.agg(F.sum("__base").alias("t")).first()["t"] or 0.0
-    for sweep in range(sweeps):
-        for on, targets, target in margins:
-            now = cells.groupBy(*on).agg(F.sum("__w").alias("__now"))
-            factor = now.join(targets.select(*on, F.col(target).alias("__t")), on).where((F.col("__t") > 0) & (F.col("__now") > 0))
-            factor = factor.select(*on, clip(F.col("__t") / F.col("__now"), low, high).alias("__f"))
-            cells = cells.join(factor, on, "left").withColumn("__w", F.col("__w") * F.coalesce("__f", F.lit(1.0))).drop("__f")
-        total = cells.agg(F.sum("__w").alias("__s"))
-        cells = cells.crossJoin(F.broadcast(total)).withColumn("__w", F.col("__w") * F.lit(float(whole)) / F.nullif(F.col("__s"), F.lit(0.0))).drop("__s")
-        if sweep % 2 == 1:
-            cells = cut(cells)
+    cells = rows.groupBy(*keys).agg(F.sum(weight).cast("double").alias("__base"))
+    cells = stored(cells.withColumn("__w", F.col("__base")), "cells")
+    few = cells.limit(CELLS_ON_DRIVER + 1).count() <= CELLS_ON_DRIVER
+    cells = _rake_small(cells, margins, sweeps, low, high) if few else _rake_large(cells, margins, sweeps, low, high)
     factors = cells.withColumns({f"__k_{k}": F.col(k) for k in keys}).select(*[f"__k_{k}" for k in keys], (F.col("__w") / F.nullif(F.col("__base"), F.lit(0.0))).alias("__f"))
     match = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys])
     return rows.join(factors, match, "left").withColumn("raked", F.col(weight) * F.col("__f")).drop("__f", *[f"__k_{k}" for k in keys])
@@ -99,9 +128,9 @@ def jackknife_mean(rows: DataFrame, by: list[str], psu: str, value: str, weight:
     """Weighted mean per group and its delete-one-PSU variance, from PSU sums: ``*by, mean, variance``."""
     p = rows.where(F.col(value).isNotNull()).groupBy(*by, psu).agg(F.sum(F.col(value) * F.col(weight)).alias("__x"), F.sum(weight).alias("__w"))
     part = W.partitionBy(*by)
-    p = p.withColumns({"__X": F.sum("__x").over(part), "__W": F.sum("__w").over(part), "__n": F.count(F.lit(1)).over(part)})
-    p = p.withColumn("__d", (F.col("__X") - F.col("__x")) / F.nullif(F.col("__W") - F.col("__w"), F.lit(0.0)) - F.col("__X") / F.col("__W"))
-    return p.groupBy(*by).agg((F.max("__X") / F.max("__W")).alias("mean"), ((F.max("__n") - 1) / F.max("__n") * F.sum(F.col("__d") * F.col("__d"))).alias("variance"))
+    p = p.withColumns({"__sum_x": F.sum("__x").over(part), "__sum_w": F.sum("__w").over(part), "__n": F.count(F.lit(1)).over(part)})
+    p = p.withColumn("__d", (F.col("__sum_x") - F.col("__x")) / F.nullif(F.col("__sum_w") - F.col("__w"), F.lit(0.0)) - F.col("__sum_x") / F.col("__sum_w"))
+    return p.groupBy(*by).agg((F.max("__sum_x") / F.max("__sum_w")).alias("mean"), ((F.max("__n") - 1) / F.max("__n") * F.sum(F.col("__d") * F.col("__d"))).alias("variance"))
 
 
 def rescaled_bootstrap(psus: DataFrame, stratum: list[str], psu: str, draws: int, seed: int) -> DataFrame:
