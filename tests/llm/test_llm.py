@@ -1,0 +1,248 @@
+"""Operators for training data against brute force, planted truth and exact accounts."""
+
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tallyfold.llm import leakage, linkage, mixing, quality, queries
+from tallyfold.llm.checked_passages import CHECKED
+from tallyfold.llm.words import words
+
+from ..harness import oracle_rows, spark_rows
+
+FOLDER = "/root/testdata/sf0.001"
+rng = random.Random(4)
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_matches_sql(spark, name):
+    columns, got = spark_rows(queries.QUERIES[name](spark, FOLDER))
+    expected_columns, expected = oracle_rows(FOLDER, queries.ORACLES[name])
+    assert columns == expected_columns and got == expected
+
+
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLES)))
+def test_runs(spark, name):
+    assert queries.QUERIES[name](spark, FOLDER).count() > 0
+
+
+# linkage
+
+
+def world(n=1500):
+    """Persons in households, and two imperfect registers of them: rows as linkage.records has them, and the truth."""
+    people = []
+    for i in range(n):
+        home = i // 2
+        r = random.Random(home)
+        family, county = int(r.paretovariate(1.0)) % 300, r.randrange(20)
+        people.append((i, int(rng.paretovariate(1.0)) % 200, 1000 + family, -rng.randrange(200, 1000), rng.randrange(2), county, home))
+
+    def seen(base, coverage):
+        out = []
+        for i, g, f, b, s, c, h in people:
+            if rng.random() > coverage:
+                continue
+            g = rng.randrange(200) if rng.random() < 0.08 else None if rng.random() < 0.02 else g
+            f = 1000 + rng.randrange(300) if rng.random() < 0.06 else f
+            b = b + rng.choice([-12, -2, -1, 1, 2, 12]) if rng.random() < 0.1 else b
+            c = rng.randrange(20) if rng.random() < 0.15 else c
+            out.append((base + i, g, f, b, s if rng.random() < 0.98 else 1 - s, c, base + 50_000 + h))
+        return out
+
+    return seen(1_000_000, 0.9), seen(2_000_000, 0.85)
+
+
+SCHEMA = "id bigint, g bigint, f bigint, b bigint, s int, c int, h bigint"
+
+
+def test_linkage_finds_planted_pairs(spark):
+    a, b = world()
+    da, db = spark.createDataFrame(a + a[:50], SCHEMA), spark.createDataFrame(b, SCHEMA)
+    records = lambda d: linkage.records(d.withColumn("block", F.lit("clash")), "id", "g", "f", "b", "s", "c", "h")
+    pairs = linkage.link(records(da), records(db)).collect()
+    assert len({(r["id_a"], r["id_b"]) for r in pairs}) == len(pairs) and all(0 <= r["confidence"] <= 1 for r in pairs)
+    found = {(r["id_a"] - 1_000_000, r["id_b"] - 2_000_000) for r in pairs if r["confidence"] >= 0.5}
+    true = {i - 1_000_000 for i, *_ in a} & {i - 2_000_000 for i, *_ in b}
+    right = sum(x == y for x, y in found)
+    assert right / len(found) > 0.93 and right / len(true) > 0.88
+
+
+def test_linkage_edges(spark):
+    a = spark.createDataFrame([(None, 1, 1, 1, 1, 1, 1), (1, None, None, None, None, None, None)], SCHEMA)
+    records = lambda d: linkage.records(d, "id", "g", "f", "b", "s", "c", "h")
+    assert linkage.link(records(a), records(a)).count() == 0
+    assert linkage.link(records(a.limit(0)), records(a.limit(0))).count() == 0
+
+
+def test_model_joins_dependent_votes():
+    shape = [len(v) for v in linkage.VOTES.values()]
+    chance = {k: np.array([0.9, *[0.1 / (len(v) - 2)] * (len(v) - 2), 1e-6]) for k, v in linkage.VOTES.items()}
+    chance = {k: v / v.sum() for k, v in chance.items()}
+    g, counts = np.random.default_rng(2), {}
+    for _ in range(20_000):
+        birth = 1 if g.random() < 0.8 else 2
+        county = 1 if g.random() < (0.95 if birth == 1 else 0.1) else 0
+        x = (3 if g.random() < 0.9 else 0, 3, birth, 1, county)
+        if linkage.in_blocks(dict(zip(linkage.VOTES, x, strict=True))):
+            counts[x] = counts.get(x, 0) + 1
+    model = linkage.fit(counts, 1e6, chance)
+    assert any({"birth", "county"} <= set(group) for group in model.groups) and model.log_odds.shape == tuple(shape)
+    assert model.log_odds[3, 3, 1, 1, 1] > model.log_odds[0, 3, 1, 1, 0]
+
+
+# leakage
+
+
+def brute_leaks(docs, items, length):
+    def holds(d, w):
+        for i in range(len(w) - length + 1):
+            part = w[i : i + length]
+            for j in range(len(d)):
+                if d[j : j + length] == part:
+                    return True
+                for k in range(1, length - 1):
+                    if d[j : j + k] != part[:k]:
+                        continue
+                    if any(d[j + k + skip : j + k + skip + length - rest] == part[rest:] for skip, rest in ((1, k + 1), (0, k + 1), (1, k))):
+                        return True
+        return False
+
+    return {(i, k) for i, t in docs if t for k, x in items if x and holds(words(t), words(x))}
+
+
+def test_leakage_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(leakage, "SEGMENT_WORDS", 300)
+    vocabulary = [f"w{i}" for i in range(12)]
+    items = [(k, " ".join(rng.choices(vocabulary, k=rng.randrange(5, 18)))) for k in range(12)]
+    docs = []
+    for i in range(60):
+        d = rng.choices(vocabulary, k=rng.randrange(0, 40))
+        if rng.random() < 0.8:
+            w = items[rng.randrange(12)][1].split()
+            start = rng.randrange(len(w))
+            part = w[start : start + rng.randrange(4, 14)]
+            at = rng.randrange(len(part))
+            part = rng.choice([part, part[:at] + ["new"] + part[at:], part[:at] + part[at + 1 :], part[:at] + ["alt"] + part[at + 1 :]])
+            d = d[:5] + part + d[5:]
+        docs.append((i, " ".join(d).upper() if i % 3 == 0 else "*" + ",  ".join(d) + "."))
+    docs += [(100, None), (None, items[0][1]), (101, ""), (7, docs[7][1]), (8, "another text")]
+    dd = spark.createDataFrame(docs, "doc_id bigint, text string").withColumn("item_id", F.lit("clash"))
+    di = spark.createDataFrame([*items, (90, None), (None, "x")], "item_id bigint, text string")
+    expected = brute_leaks([d for d in docs if d[0] is not None], items, 8)
+    for block in (10_000, 40):
+        got = {tuple(r) for r in leakage.leaked_items(dd.repartition(2), di, length=8, block_words=block).select("doc_id", "item_id").collect()}
+        assert got == expected
+    assert leakage.leaked_items(dd.limit(0), di, length=8).count() == 0 and leakage.leaked_items(dd, di.limit(0), length=8).count() == 0
+
+
+def test_words_ignore_dress():
+    plain = words("Clerk of Marmovik holds 63.1 cards and two, of band 85+")
+    assert plain == ["clerk", "of", "marmovik", "holds", "631", "cards", "and", "two", "of", "band", "85"]
+    assert words("<p>CLERK&nbsp;<b>of</b> Mar­mo​vik\\nholds 63.1\n> *cards* &amp; two, of band 85+</p>") == plain
+    assert words(None) == [] and words(" -- ") == []
+
+
+def test_longest_stretch():
+    item = np.arange(20)
+    doc = np.concatenate([[99], np.arange(2, 9), [77], np.arange(10, 18)])
+    assert leakage.best_stretch(item, doc, -1, 1)[0] == 16 and leakage.best_stretch(item, doc, -1, 0)[0] == 8
+
+
+# mixing
+
+
+def test_split_tree_is_exact():
+    quotas = np.array([17, 0, 5, 100])
+    dealt = mixing.split_tree(quotas, 7, np.random.default_rng(1))
+    assert (dealt.sum(0) == quotas).all() and (dealt >= 0).all() and dealt.sum(1).max() - dealt.sum(1).min() <= 3
+
+
+def test_mixture_accounts(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_TOKENS", 60)
+    monkeypatch.setattr(mixing, "SHARD_TOKENS", 400)
+    docs = [(i, " ".join(rng.choices("abcdefg", k=rng.randrange(1, 30))), rng.choice(["One", "two-x", " TWO_X ", "three", "stray", None])) for i in range(300)]
+    docs += [(900 + i, "same text again", "one") for i in range(200)] + [(1, None, "one"), (2, "", "one")]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, source string").withColumn("copy", F.lit("clash"))
+    targets = spark.createDataFrame([("one", 0.5, 1), ("two_x", 0.3, 2), ("three", 0.1, 4), ("gone", 0.1, 3), ("off", 0.0, 1)], "source string, target_share double, max_repeats int")
+    mixed = mixing.mix(df, targets, queries.TOKENIZER_FILE)
+    got = mixed.rows.collect()
+    report = {r["source"]: r for r in mixed.report.collect()}
+    assert set(report) == {"one", "two_x", "three", "gone", "off"} and report["gone"]["n_tokens"] == 0
+    uses, text = {}, dict((i, t) for i, t, _ in docs)
+    for r in got:
+        uses[r["source"], text[r["doc_id"]], r["copy"]] = uses.get((r["source"], text[r["doc_id"]], r["copy"]), 0) + 1
+    assert max(uses.values()) == 1
+    for s, repeats in (("one", 1), ("two_x", 2), ("three", 4)):
+        assert max(r["copy"] for r in got if r["source"] == s) < repeats
+    shares = {s: report[s]["n_tokens"] / sum(r["n_tokens"] for r in got) for s in report}
+    assert abs(shares["one"] / 0.5 * 0.9 - 1) < 0.06 and abs(shares["two_x"] / 0.3 * 0.9 - 1) < 0.08
+    assert sorted((r["shard"], r["place"]) for r in got) == sorted((s, p + 1) for s in {r["shard"] for r in got} for p in range(sum(r["shard"] == s for r in got)))
+    again = mixing.mix(df.repartition(3), targets, queries.TOKENIZER_FILE)
+    assert sorted(map(tuple, got)) == sorted(map(tuple, again.rows.collect()))
+
+
+def test_mixture_of_nothing(spark):
+    df = spark.createDataFrame([], "doc_id bigint, text string, source string")
+    targets = spark.createDataFrame([("one", 0.5, 1)], "source string, target_share double, max_repeats int")
+    mixed = mixing.mix(df, targets, queries.TOKENIZER_FILE)
+    assert mixed.rows.count() == 0 and mixed.report.first()["n_tokens"] == 0
+
+
+# quality
+
+
+def test_statistics_edges(spark):
+    docs = spark.createDataFrame([(1, None), (2, ""), (3, "The cat sat.\n\n- x"), (4, "¡¿?!")], "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in quality.document_statistics(docs).collect()}
+    assert got[1]["n_words"] is None and got[2]["mean_word_length"] is None and got[4]["symbol_ratio"] == 1.0
+    assert got[3]["n_words"] == 4 and got[3]["punctuated_lines"] == 0.5
+
+
+def test_passage_statistics_do_not_depend_on_neighbouring_texts():
+    texts = ["One line here.\n- a\n- b", "Another text of words, long enough to count.", "x" * 300, "| a | b |\n| c | d |", "\U0001f600 <b>of</b> &amp; the 12.5"]
+    cut = [quality.passages(t) for t in texts]
+    alone = np.vstack([quality.statistics(ps, [0]) for ps in cut])
+    starts = np.cumsum([0, *map(len, cut)])[:-1]
+    assert np.allclose(alone, quality.statistics([p for ps in cut for p in ps], starts.tolist()))
+
+
+def prose(i):
+    return f"The clerk of the office said that the letter number {i} had not been found, and so we went home with it."
+
+
+def listing(i):
+    return f"Vik{i} | {i * 7} | 18-44 | {i % 10}.5"
+
+
+def test_junk_is_told_from_prose(spark):
+    docs = []
+    for i in range(400):
+        n = rng.randrange(1, 8)
+        kinds = [rng.random() < (0.9 if i % 2 else 0.1) for _ in range(n)]
+        lines = [listing(rng.randrange(900)) if junk else prose(rng.randrange(900)) for junk in kinds]
+        junk = sum(len(x) for x, j in zip(lines, kinds, strict=True) if j) / sum(map(len, lines))
+        docs.append((i, "\n".join(lines), junk))
+    docs += [(1000, None, 0.0), (1001, " \n ", 0.0), (None, "x", 0.0)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, truth double").withColumn("junk", F.lit("clash"))
+    got = {r["doc_id"]: r["junk_share"] for r in quality.junk_shares(df.union(df.limit(20))).collect()}
+    assert set(got) == set(range(400))
+    assert sum((got[i] > 0.5) == (t > 0.5) for i, _, t in docs[:400]) >= 392
+
+
+def test_quality_of_nothing_and_of_one_kind(spark):
+    df = spark.createDataFrame([(1, prose(1))], "doc_id bigint, text string")
+    assert quality.junk_shares(df.limit(0)).count() == 0
+    assert quality.junk_shares(df).first()["junk_share"] == 0.0
+
+
+def test_checked_passages_are_judged_well(spark):
+    """Trees trained without the checked passages, calibrated on half of them, judge the other half."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    trees = quality.train(docs)
+    scored = [(float(quality.margins(quality.statistics([b or ".", p, a or "."], [0])[1:2], trees)[0]), y) for y, b, p, a in CHECKED]
+    slope, offset = quality.calibrate(scored[::2])
+    right = sum((m * slope + offset > 0) == bool(y) for m, y in scored[1::2])
+    assert right / len(scored[1::2]) >= 0.75
