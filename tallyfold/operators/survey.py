@@ -28,9 +28,9 @@ def pps_sample(cells: DataFrame, strata: list[str], cell: str, size: str, m: int
 
 
 def nonresponse_factor(rows: DataFrame, psu: list[str], household: str, sampled: Column) -> DataFrame:
-    """Per PSU sampled over responding households, at least 1: ``*psu, factor``."""
+    """Per PSU sampled over responding households, at least 1, and 1 where none responded: ``*psu, factor``."""
     n = rows.groupBy(*psu).agg(F.count_distinct(household).alias("__n"), F.max(sampled).alias("__s"))
-    return n.select(*psu, F.greatest(F.lit(1.0), F.col("__s") / F.col("__n")).alias("factor"))
+    return n.select(*psu, F.greatest(F.lit(1.0), ratio("__s", "__n")).alias("factor"))
 
 
 def response_weights(psus: DataFrame, by: list[str], covariate: str, responding: str, sampled: str, weight: str) -> DataFrame:

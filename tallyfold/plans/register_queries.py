@@ -500,7 +500,7 @@ FROM income_preliminary WHERE taxpayer_id <> 0 GROUP BY 1, 2""",
     "unmixed_counts": f"WITH {_REG}, n AS (SELECT county, count(*) AS n FROM a WHERE county IS NOT NULL GROUP BY 1) SELECT county, n, round((n - 0.05 / 63 * sum(n) OVER ()) / (1 - 0.05 - 0.05 / 63)::double, 6) AS unmixed FROM n",
     "corroborated_counties": f"WITH {_UNIQUE} SELECT ca AS county, count(*) AS links, count(*) FILTER (WHERE ca = cb) AS corroborated FROM links WHERE ca IS NOT NULL GROUP BY 1",
     "nonresponse_weights": f"""WITH {_REG}, s AS (SELECT county, count(DISTINCT household_id) AS s FROM a GROUP BY 1), n AS (SELECT county, count(DISTINCT household_id) AS n FROM b WHERE county IS NOT NULL GROUP BY 1)
-SELECT county, round(greatest(1.0, s / n), 8)::double AS factor FROM n JOIN s USING (county)""",
+SELECT county, round(greatest(1.0, s / nullif(n, 0)), 8)::double AS factor FROM n JOIN s USING (county)""",
     "hot_deck": f"""WITH {_P}, r AS (SELECT * FROM q WHERE age >= 16) SELECT r.truth_person_id, coalesce(
   (SELECT median(o.income_cents) FROM r o WHERE o.county = r.county AND o.sex = r.sex AND o.education = r.education), (SELECT median(o.income_cents) FROM r o WHERE o.sex = r.sex AND o.education = r.education),
   (SELECT median(o.income_cents) FROM r o WHERE o.sex = r.sex), (SELECT median(income_cents) FROM r)) AS imputed FROM r WHERE income_cents IS NULL""",
