@@ -40,21 +40,37 @@ def canonical_source(column: str | Column) -> Column:
     return F.nullif(F.regexp_replace(c, "^_+|_+$", ""), F.lit(""))
 
 
-def with_token_counts(docs: DataFrame, text: str, tokenizer_file: str, name: str = "n_tokens") -> DataFrame:
-    """``docs`` with the number of tokens of each text under a tokenizer file (``tokenizers`` JSON); NULL for NULL.
+#: Fixed value: how byte-level BPE parts a text before merging, where a file of ranks doesn't say.
+BYTE_BPE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-    The file is read by each Python worker once. Special tokens' strings in a text are ordinary text.
-    """
+
+def token_counter(tokenizer_file: str, pattern: str = BYTE_BPE_PATTERN):
+    """A function from texts to their numbers of tokens, for a file of BPE ranks (``.tiktoken``) or a ``tokenizers``
+    JSON file. The strings of special tokens are ordinary text."""
+    if tokenizer_file.endswith(".tiktoken"):
+        import base64
+
+        import tiktoken
+
+        with open(tokenizer_file, "rb") as f:
+            ranks = {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, f)}
+        encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        return lambda texts: [len(encoding.encode_ordinary(t)) for t in texts]
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(tokenizer_file)
+    tokenizer.encode_special_tokens = True
+    return lambda texts: [len(e) for at in range(0, len(texts), 500) for e in tokenizer.encode_batch(texts[at : at + 500], add_special_tokens=False)]
+
+
+def with_token_counts(docs: DataFrame, text: str, tokenizer_file: str, name: str = "n_tokens") -> DataFrame:
+    """``docs`` with the number of tokens of each text; NULL for NULL. Each Python worker reads the file once per task."""
 
     @F.pandas_udf("bigint")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(tokenizer_file)
-        tokenizer.encode_special_tokens = True
+        counts = token_counter(tokenizer_file)
         for texts in batches:
-            n = [len(e) for at in range(0, len(texts), 500) for e in tokenizer.encode_batch(texts.iloc[at : at + 500].fillna("").tolist(), add_special_tokens=False)]
-            yield pd.Series(n, index=texts.index)
+            yield pd.Series(counts(texts.fillna("").tolist()), index=texts.index)
 
     return docs.withColumn(name, F.when(F.col(text).isNotNull(), count(text)))
 

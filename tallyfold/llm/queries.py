@@ -29,7 +29,7 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 #: A public tokenizer's file on every machine; another path may be set in the session.
-TOKENIZER_FILE = "/opt/tokenizers/byte_bpe_50k.json"
+TOKENIZER_FILE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
 def mixture(spark: SparkSession, folder: str) -> mixing.Mixture:

@@ -154,6 +154,12 @@ def test_longest_stretch():
 # mixing
 
 
+def test_token_counts_agree(spark):
+    texts = [r["text"] for r in spark.read.parquet(f"{FOLDER}/documents.parquet").select("text").collect()] + ["", "<|endoftext|> ok"]
+    ranks = mixing.token_counter("/opt/tokenizers/byte_bpe_50k.tiktoken")(texts)
+    assert ranks == mixing.token_counter("/opt/tokenizers/byte_bpe_50k.json")(texts) and ranks[-2] == 0
+
+
 def test_split_tree_is_exact():
     quotas = np.array([17, 0, 5, 100])
     dealt = mixing.split_tree(quotas, 7, np.random.default_rng(1))
