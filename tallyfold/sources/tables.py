@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -24,8 +23,3 @@ def without_codes(df: DataFrame, ids: list[str] = (), codes: list[str] = (), amo
     out |= {c: known(c, -1) for c in codes}
     out |= {c: F.when(~F.isnan(c), F.col(c)) for c in amounts}
     return df.withColumns(out) if out else df
-
-
-def missing_code(kind: T.DataType) -> str:
-    """The raw code that stands for a missing value of this type: NaN in fractional types, else none."""
-    return "NaN" if isinstance(kind, (T.DoubleType, T.FloatType)) else ""
