@@ -77,6 +77,27 @@ def test_linkage_edges(spark):
     assert linkage.link(records(a.limit(0)), records(a.limit(0))).count() == 0
 
 
+def test_candidates_bear_a_wrong_name_with_a_birth_off(spark):
+    """A given name wrong or missing, or a wrong family name, together with a birth some months off."""
+    rows = lambda base, people: spark.createDataFrame([(base + i, *p) for i, p in enumerate(people)], SCHEMA)
+    a = rows(100, [(1, 10, 500, 1, 3, 7), (2, 20, 500, 0, 4, 8), (3, 30, 500, 1, 5, 9), (4, 40, 500, 1, 6, 11)])
+    b = rows(200, [(9, 10, 495, 1, 3, 17), (None, 20, 512, 0, 4, 18), (3, 99, 501, 1, 5, 19), (9, 40, 513, 1, 6, 21)])
+    a, b = (linkage._with_kind(linkage._with_kind(x, linkage._name_classes(a, b, "g"), "g"), linkage._name_classes(a, b, "f"), "f") for x in (a, b))
+    pairs = linkage._votes(linkage._candidates(a, b)).collect()
+    assert sorted((r["id_a"], r["id_b"]) for r in pairs) == [(100, 200), (101, 201), (102, 202)]  # 13 months apart is no near birth
+    assert all(linkage.in_blocks({v: r[v] for v in linkage.VOTES}) for r in pairs)
+
+
+def test_household_pass_bears_a_wrong_given_name_with_a_birth_off(spark):
+    """In a tied household, across counties and sexes, so that only the household pass can find the pair."""
+    a, b = world(600)
+    a += [(1_900_000 + k, 150 + k, 5000 + i, -300 - i, 1, 3, 90_000 + i) for i in range(40) for k in (2 * i, 2 * i + 1)]
+    b += [(2_900_000 + k, 150 + k if k % 2 else None, 5000 + i, -300 - i + (0 if k % 2 else 5), 1, 3 if k % 2 else 4, 95_000 + i) for i in range(40) for k in (2 * i, 2 * i + 1)]
+    records = lambda d: linkage.records(spark.createDataFrame(d, SCHEMA), "id", "g", "f", "b", "s", "c", "h")
+    reached = {(r["id_a"], r["id_b"]) for r in linkage.link(records(a), records(b)).collect()}
+    assert {(1_900_000 + 2 * i, 2_900_000 + 2 * i) for i in range(40)} <= reached
+
+
 def test_model_joins_dependent_votes():
     shape = [len(v) for v in linkage.VOTES.values()]
     chance = {k: np.array([0.9, *[0.1 / (len(v) - 2)] * (len(v) - 2), 1e-6]) for k, v in linkage.VOTES.items()}
