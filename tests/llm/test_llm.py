@@ -83,7 +83,7 @@ def test_candidates_bear_a_wrong_name_with_a_birth_off(spark):
     a = rows(100, [(1, 10, 500, 1, 3, 7), (2, 20, 500, 0, 4, 8), (3, 30, 500, 1, 5, 9), (4, 40, 500, 1, 6, 11)])
     b = rows(200, [(9, 10, 495, 1, 3, 17), (None, 20, 512, 0, 4, 18), (3, 99, 501, 1, 5, 19), (9, 40, 513, 1, 6, 21)])
     a, b = (linkage._with_kind(linkage._with_kind(x, linkage._name_classes(a, b, "g"), "g"), linkage._name_classes(a, b, "f"), "f") for x in (a, b))
-    pairs = linkage._votes(linkage._candidates(a, b)).collect()
+    pairs = linkage._votes(linkage._candidates(linkage._parted(a), linkage._parted(b))).collect()
     assert sorted((r["id_a"], r["id_b"]) for r in pairs) == [(100, 200), (101, 201), (102, 202)]  # 13 months apart is no near birth
     assert all(linkage.in_blocks({v: r[v] for v in linkage.VOTES}) for r in pairs)
 
@@ -98,6 +98,19 @@ def test_household_pass_bears_a_wrong_given_name_with_a_birth_off(spark):
     assert {(1_900_000 + 2 * i, 2_900_000 + 2 * i) for i in range(40)} <= reached
 
 
+def test_members_of_large_households_are_compared_and_say_nothing_of_kin(spark):
+    """An institution of 40 in each register; every second member has another county and no given name and a birth off."""
+    a, b = world(600)
+    a += [(1_900_000 + i, 300 + i, 5000 + i, -300 - i, 1, 3, 90_000) for i in range(40)]
+    b += [(2_900_000 + i, 300 + i if i % 2 else None, 5000 + i, -300 - i + (0 if i % 2 else 5), 1, 3 if i % 2 else 4, 95_000) for i in range(40)]
+    records = lambda d: linkage.records(spark.createDataFrame(d, SCHEMA), "id", "g", "f", "b", "s", "c", "h")
+    rows = linkage.link(records(a), records(b)).collect()
+    assert len({(r["id_a"], r["id_b"]) for r in rows}) == len(rows)
+    assert {(1_900_000 + i, 2_900_000 + i) for i in range(40)} <= {(r["id_a"], r["id_b"]) for r in rows}
+    parted = linkage._parted(records(a)).where("id >= 1900000").collect()
+    assert all(r["h"] is None and r["large"] == 90_000 and r["size"] == 40 for r in parted)
+
+
 def test_model_joins_dependent_votes():
     shape = [len(v) for v in linkage.VOTES.values()]
     chance = {k: np.array([0.9, *[0.1 / (len(v) - 2)] * (len(v) - 2), 1e-6]) for k, v in linkage.VOTES.items()}
