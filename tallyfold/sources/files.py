@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from fnmatch import fnmatchcase
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,9 +72,39 @@ def write_document(df: DataFrame, path: str) -> None:
 
 
 def inventory(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """``name, bytes, sha256`` of every file below a folder; links are not followed."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
-    return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    """``name, bytes, sha256`` of every file below a folder, by its path from there, empty and hidden ones too.
+
+    The driver lists names and sizes only (Spark's own listing drops empty files); each file is hashed as a stream of blocks within a task, whatever its size.
+    """
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    root = system.makeQualified(root)
+    start, found, listed = len(root.toString().rstrip("/")) + 1, [], system.listFiles(root, True)
+    while listed.hasNext():
+        status = listed.next()
+        at = status.getPath()
+        if fnmatchcase(at.getName(), pattern):
+            found.append((at.toString(), at.toString()[start:], status.getLen()))
+
+    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import hashlib
+
+        from pyarrow import fs
+
+        for batch in batches:
+            digests = []
+            for at in batch["path"]:
+                local = at.startswith("file:")
+                system, inner = (fs.LocalFileSystem(), "/" + at.removeprefix("file:").lstrip("/")) if local else fs.FileSystem.from_uri(at)
+                digest = hashlib.sha256()
+                with system.open_input_stream(inner, compression=None) as stream:
+                    while block := stream.read(1 << 22):
+                        digest.update(block)
+                digests.append(digest.hexdigest())
+            yield batch[["name", "bytes"]].assign(sha256=digests)
+
+    files = spark.createDataFrame(found, "path string, name string, bytes bigint").repartition(max(1, len(found)))
+    return files.mapInPandas(hashed, "name string, bytes bigint, sha256 string")
 
 
 def tree_digest(files: DataFrame) -> DataFrame:

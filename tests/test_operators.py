@@ -258,6 +258,23 @@ def test_csv_round_trip_and_tokens(spark, tmp_path):
     assert files.inventory(spark, str(tmp_path), "*.csv").count() >= 1
 
 
+def test_inventory_covers_the_whole_tree(spark, tmp_path):
+    import hashlib
+    from pathlib import Path
+
+    from tallyfold.plans import table_queries
+
+    for name, data in {"a/part.bin": b"x" * 9_000_000, "b/part.bin": b"y", "c d.txt": b""}.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    brute = lambda root: sorted((str(p.relative_to(root)), p.stat().st_size, hashlib.sha256(p.read_bytes()).hexdigest()) for p in Path(root).rglob("*") if p.is_file())
+    assert sorted(map(tuple, files.inventory(spark, str(tmp_path)).collect())) == brute(tmp_path)
+    folder = "/root/testdata/sf0.001"
+    digest = hashlib.sha256("\n".join(f"{n}:{h}" for n, _, h in brute(folder)).encode()).hexdigest()
+    assert table_queries.file_inventory(spark, folder).first()["digest"] == digest
+    assert table_queries.table_fingerprint(spark, folder).first()["n"] == spark.read.parquet(f"{folder}/lineitem.parquet").count()
+
+
 def test_stream_corrects_late_events(spark, tmp_path):
     from tests.test_problems import brute_versions
 
