@@ -6,36 +6,40 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-#: Arrivals of this magnitude or more do not fit the packed order and take the wider one.
-PACKED_ARRIVAL_BITS = 22
-
+from pyspark.sql import types as T
 
 def _missing_count(columns: list[str]) -> Column:
     return reduce(lambda a, b: a + b, [F.col(c).isNull().cast("long") for c in columns], F.lit(0).cast("long"))
 
 
-def first_deliveries(events: DataFrame, event_id: str, arrival: str, keep: list[str], packed: bool = False) -> DataFrame:
+def order_of_delivery(arrival: str, keep: list[str], arrival_type: T.DataType) -> Column:
+    """Orders deliveries of one change: the smallest arrival first, of equal ones the fullest, then by a hash of the contents.
+
+    Whole numbers are packed with the rest into one decimal, which aggregates in place with map-side combining, whatever
+    their size; other types are ordered as a struct.
+    """
+    full, mark = _missing_count(keep), F.shiftrightunsigned(F.xxhash64(*keep), 16)
+    if isinstance(arrival_type, (T.ByteType, T.ShortType, T.IntegerType)):
+        return F.col(arrival).cast("long") * F.lit(2**31) + full * F.lit(2**22) + F.shiftrightunsigned(mark, 26)
+    if isinstance(arrival_type, T.LongType):
+        # 19 digits of arrival, then 18 of the rest
+        return (F.col(arrival).cast("decimal(19,0)") * F.lit(10**18).cast("decimal(19,0)") + (full * F.lit(10**15) + mark).cast("decimal(19,0)")).cast("decimal(38,0)")
+    return F.struct(F.col(arrival), full, mark)
+
+
+def first_deliveries(events: DataFrame, event_id: str, arrival: str, keep: list[str]) -> DataFrame:
     """One row per event: its first delivery, the one with the smallest arrival.
 
     Of several rows with the smallest arrival the one with the fewest NULLs among ``keep`` counts; equally full
     ones are ordered by a hash of their contents, so repeated runs agree. Rows without an id or an arrival are
-    left out. ``packed`` puts arrival, fullness and hash into one BIGINT (arrivals below 2**22 in magnitude, else the
-    query fails), which keeps the aggregation in the hash operator with map-side combining; without it any orderable
-    arrival works. An empty table gives an empty one. Returns ``event_id, arrival, *keep``; other columns are pruned.
+    left out. Any orderable arrival works. An empty table gives an empty one. Returns ``event_id, arrival, *keep``;
+    other columns are pruned.
     """
     rows = events.select(event_id, arrival, *keep).where(F.col(event_id).isNotNull() & F.col(arrival).isNotNull())
     if not keep:
         return rows.groupBy(event_id).agg(F.min(arrival).alias(arrival))
-    full, mark = _missing_count(keep), F.xxhash64(*keep)
-    if packed:
-        at = F.col(arrival).cast("long")
-        fits = F.when(F.abs(at) < 2**PACKED_ARRIVAL_BITS, at).otherwise(F.raise_error(F.lit(f"{arrival} is too large for the packed order")).cast("long"))
-        order = fits * F.lit(2**40) + full * F.lit(2**32) + F.shiftrightunsigned(mark, 32)
-    else:
-        order = F.struct(F.col(arrival), full, mark)
     return (
-        rows.withColumn("__order", order)
+        rows.withColumn("__order", order_of_delivery(arrival, keep, events.schema[arrival].dataType))
         .groupBy(event_id)
         .agg(F.min(arrival).alias(arrival), *[F.min_by(c, "__order").alias(c) for c in keep])
     )

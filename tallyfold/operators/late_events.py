@@ -36,15 +36,6 @@ def multiset_state(events: DataFrame, keys: list[str], period: str, arrival: str
     )
 
 
-def corrections(state: DataFrame, keys: list[str], period: str, arrival: str) -> DataFrame:
-    """The arrivals that changed a period after its first count: ``*keys, period, arrival, n_late``, one row each."""
-    return (
-        state.where(F.col(VERSION) > 0)
-        .groupBy(*keys, period, (F.col(period) + F.col(VERSION)).alias(arrival))
-        .agg(F.sum(COUNT).alias("n_late"))
-    )
-
-
 def period_versions(state: DataFrame, keys: list[str], period: str, cutoff: int, ranges: int = 64) -> DataFrame:
     """Every version of every period in which something arrived, with statistics over all that had arrived by then.
 
@@ -101,3 +92,13 @@ def period_versions(state: DataFrame, keys: list[str], period: str, cutoff: int,
         F.sum("new").alias("n_new"), F.sum("c").alias("n"), F.sum("d").alias("n_distinct"), F.min("lo").alias("min_value"), F.max("hi").alias("max_value")
     )
     return totals.join(medians, group, "left")
+
+
+def corrections(versions: DataFrame, keys: list[str], period: str, arrival: str) -> DataFrame:
+    """The arrivals that changed a period after its first count: ``*keys, period, arrival, n_late``, one row each.
+
+    ``versions`` are those of ``period_versions``: a correction is a version after the first at which the counts of the
+    period's state grew.
+    """
+    late = versions.where((F.col(VERSION) > 0) & (F.col("n_new") > 0) & (F.col("n") >= F.col("n_new")))
+    return late.select(*keys, period, (F.col(period) + F.col(VERSION)).alias(arrival), F.col("n_new").alias("n_late"))

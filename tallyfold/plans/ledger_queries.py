@@ -41,7 +41,7 @@ def residence_months(spark, d):
     """Household-months per county: every household is charged to where it lives after each month's moves."""
     ledger = load(spark, d, "ledger")
     rows = without_codes(ledger.where(F.col("event_type") == MOVED), codes=["to_cell"])
-    first = deliveries.first_deliveries(rows, EVENT, "recorded_tick", ["tick", HOUSEHOLD, "to_cell"], packed=True)
+    first = deliveries.first_deliveries(rows, EVENT, "recorded_tick", ["tick", HOUSEHOLD, "to_cell"])
     live = deliveries.not_withdrawn(first, deliveries.withdrawals(ledger, EVENT, VOIDS), EVENT).where(f"to_cell is not null and {HOUSEHOLD} > 0")
     base = without_codes(load(spark, d, "household"), codes=["cell"]).where(f"cell is not null and {HOUSEHOLD} is not null").select(HOUSEHOLD, F.col("cell").alias("to_cell"))
     known = live.join(base.select(HOUSEHOLD), HOUSEHOLD, "left_semi")

@@ -21,21 +21,23 @@ EVENT, VOIDS, JOB = "truth_event_id", "supersedes_event_id", "truth_job_id"
 def first_events(ledger: DataFrame, types: list[int], keep: list[str], ids: list[str] = ()) -> DataFrame:
     """First deliveries of the events of some types, with 0 in ``ids`` read as missing."""
     rows = without_codes(ledger.where(F.col("event_type").isin(types)), ids=list(ids))
-    return deliveries.first_deliveries(rows, EVENT, "recorded_tick", keep, packed=True)
+    return deliveries.first_deliveries(rows, EVENT, "recorded_tick", keep)
 
 
-def admissions_state(spark: SparkSession, folder: str) -> DataFrame:
+def admission_versions(spark: SparkSession, folder: str) -> DataFrame:
+    """Every version of the monthly admissions of each hospital, re-derived from the counts of their costs."""
     ledger = load(spark, folder, "ledger")
     first = first_events(ledger, [ADMITTED], ["tick", HOSPITAL, "cost_cents"], [HOSPITAL, "cost_cents"])
-    return late_events.multiset_state(first, [HOSPITAL], "tick", "recorded_tick", LATE_MONTHS, "cost_cents")
+    state = stored(late_events.multiset_state(first, [HOSPITAL], "tick", "recorded_tick", LATE_MONTHS, "cost_cents"), "admissions")
+    return late_events.period_versions(state, [HOSPITAL], "tick", LATE_MONTHS)
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    return late_events.corrections(admissions_state(spark, folder), [HOSPITAL], "tick", "recorded_tick").select(HOSPITAL, "tick", "recorded_tick")
+    return late_events.corrections(admission_versions(spark, folder), [HOSPITAL], "tick", "recorded_tick").select(HOSPITAL, "tick", "recorded_tick")
 
 
 def p2_versions(spark: SparkSession, folder: str) -> DataFrame:
-    return late_events.period_versions(admissions_state(spark, folder), [HOSPITAL], "tick", LATE_MONTHS)
+    return admission_versions(spark, folder)
 
 
 def household_changes(spark: SparkSession, folder: str) -> DataFrame:
@@ -46,8 +48,17 @@ def household_changes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    """A transaction holds the changes of one month; the month is its commit number and orders it."""
-    return change_feed.replay(household_changes(spark, folder), HOUSEHOLD, [DWELLING], "tick", EVENT, F.col("event_type") == CLOSED)
+    """The state of households from the ledger as a numbered feed.
+
+    The lower 56 bits of an event's id are its number in the count of all events, which rises with the months, so a
+    number that neither came nor was withdrawn holds its month and all later ones. A month is one transaction.
+    """
+    ledger = without_codes(load(spark, folder, "ledger"), ids=[HOUSEHOLD, DWELLING, VOIDS])
+    number = lambda c: F.col(c).bitwiseAND(F.lit(2**56 - 1))
+    log = change_feed.numbered_log(
+        ledger, number(EVENT), number(VOIDS), "tick", "recorded_tick", ["event_type", HOUSEHOLD, DWELLING], F.col("event_type").isin(FORMED, MOVED, CLOSED),
+    )
+    return change_feed.replay_numbered(stored(log, "numbers"), HOUSEHOLD, [DWELLING], F.col("event_type").isNotNull(), F.col("event_type") == CLOSED)
 
 
 def p3_watermarks(spark: SparkSession, folder: str) -> DataFrame:
