@@ -195,10 +195,40 @@ def test_token_counts_agree(spark):
     assert ranks == mixing.token_counter("/opt/tokenizers/byte_bpe_50k.json")(texts) and ranks[-2] == 0
 
 
-def test_split_tree_is_exact():
-    quotas = np.array([17, 0, 5, 100])
-    dealt = mixing.split_tree(quotas, 7, np.random.default_rng(1))
+@pytest.mark.parametrize("quotas,shards", [([17, 0, 5, 100], 7), ([70_001, 3, 250_000], 1000), ([3 * 10**10, 10**9, 0, 17], 500), ([0, 0], 3), ([2, 1], 9)])
+def test_split_tree_is_exact(quotas, shards):
+    """Shards get whole blocks, all of them, each within a few of an equal share; subtrees give what the whole tree gives."""
+    zero = np.zeros(len(quotas), np.int64)
+    leaves = mixing.split_tree(np.array(quotas), 0, shards, zero, 5)
+    assert [leaf[0] for leaf in leaves] == list(range(shards))
+    dealt = np.array([leaf[3] for leaf in leaves])
     assert (dealt.sum(0) == quotas).all() and (dealt >= 0).all() and dealt.sum(1).max() - dealt.sum(1).min() <= 3
+    assert (np.array([leaf[2] for leaf in leaves]) == np.cumsum(dealt, 0) - dealt).all()
+    parts = [leaf for lo, hi, first, n in mixing.split_tree(np.array(quotas), 0, shards, zero, 5, 4) for leaf in mixing.split_tree(n, lo, hi, first, 5)]
+    assert all((a[3] == b[3]).all() and (a[2] == b[2]).all() for a, b in zip(leaves, parts, strict=True))
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 64, 1000, 70_001])
+def test_permutation_holds_each_place_once(n):
+    got = mixing.permuted(np.arange(n), n, 9)
+    assert sorted(got.tolist()) == list(range(n))
+    assert n < 100 or (got != np.arange(n)).mean() > 0.9
+
+
+@pytest.mark.parametrize("fan,few", [(2, 1), (4, 5), (12, 20_000)])
+def test_quota_ends(spark, monkeypatch, fan, few):
+    monkeypatch.setattr(mixing, "FAN_BITS", fan)
+    monkeypatch.setattr(mixing, "LAST_TEXTS", few)
+    rows = [(s, rng.getrandbits(63), f"{i:03d}", rng.randrange(1, 9)) for s in "ab" for i in range(200)] + [("a", 77, f"t{i}", 3) for i in range(4)]
+    room = {"a": 5, "b": 400}
+    expected = {}
+    for s, left in room.items():
+        for order, mark, n in sorted(r[1:] for r in rows if r[0] == s):
+            if n > left:
+                expected[s] = (order, mark)
+                break
+            left -= n
+    assert mixing.quota_ends(spark.createDataFrame(rows, "source string, order bigint, mark string, n_tokens bigint"), room) == expected
 
 
 def test_mixture_accounts(spark, monkeypatch):
