@@ -23,60 +23,58 @@ from tallyfold.session import sent_by_value, stored
 sent_by_value(__name__)
 sent_by_value(_words.__name__)
 
-#: Words after which a segment is closed; a longer document is a segment of its own.
-SEGMENT_WORDS = 1_000_000
-#: Words of test items that are sent to the tasks at once. More items are searched in blocks, each against all segments.
-BLOCK_WORDS = 5_000_000
+#: Words after which a segment is closed. A longer document is cut into pieces that overlap by so many words.
+SEGMENT_WORDS, OVERLAP_WORDS = 1_000_000, 2_000
+#: Words of test items that are broadcast at once. More items are searched in blocks, each against all segments.
+BLOCK_WORDS = 1_000_000
 
 
-def _segment(docs: list, texts: list[np.ndarray], vocabulary: list[str]) -> dict:
+def _segment(docs: list, firsts: list[int], texts: list[np.ndarray], vocabulary: list[str]) -> dict:
     """Postings of one segment: the lists of all terms one after the other, each by document and position."""
     lengths = np.array([len(t) for t in texts])
-    term, row = np.concatenate(texts), np.repeat(np.arange(len(texts)), lengths)
-    position = np.arange(len(term)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    known = term >= 0
-    term, row, position = term[known], row[known], position[known]
+    term, row = np.concatenate(texts), np.repeat(np.arange(len(texts), dtype=np.int32), lengths)
+    position = (np.arange(len(term)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)
     order = np.argsort(term, kind="stable")
-    used, counts = np.unique(term, return_counts=True)
     return {
-        "docs": docs, "lengths": lengths.astype(np.int32), "terms": [vocabulary[i] for i in used], "counts": counts.astype(np.int32),
-        "rows": row[order].astype(np.int32), "positions": position[order].astype(np.int32),
+        "docs": docs, "firsts": np.array(firsts, np.int64), "lengths": lengths.astype(np.int32), "terms": vocabulary,
+        "counts": np.bincount(term, minlength=len(vocabulary)).astype(np.int32), "rows": row[order], "positions": position[order],
     }
 
 
-def build_index(docs: DataFrame, doc_id: str, text: str, vocabulary: set[str] | None = None) -> DataFrame:
-    """The stored index: one row per segment with ``docs, lengths, terms, counts, rows, positions``.
+def build_index(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The stored index of all words: one row per segment with ``docs, firsts, lengths, terms, counts, rows, positions``.
 
     List i belongs to ``terms[i]``, has ``counts[i]`` postings and follows list i - 1 in ``rows`` (which document of the
-    segment) and ``positions`` (which word of it). With a ``vocabulary`` only its words are kept; positions count all
-    words. Rows without id or text are left out, repeated rows are indexed each. Whole texts, however long.
+    segment) and ``positions`` (which word of it, counted from ``firsts``). It knows nothing of what will be searched.
+    Rows without id or text are left out, repeated rows are indexed each. Whole texts, however long: one of more than
+    ``SEGMENT_WORDS`` words stands in several segments, whose pieces overlap by ``OVERLAP_WORDS``.
     """
-    kind = docs.schema[doc_id].dataType
+    kind, most, overlap = docs.schema[doc_id].dataType, SEGMENT_WORDS, min(OVERLAP_WORDS, SEGMENT_WORDS // 2)
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = sorted(vocabulary) if vocabulary is not None else []
-        ids = {w: i for i, w in enumerate(names)}
-        held, texts, size = [], [], 0
+        ids: dict[str, int] = {}
+        held, firsts, texts, size = [], [], [], 0
         for batch in batches:
             for doc, t in zip(batch["doc"], batch["text"], strict=True):
                 ws = words(t)
-                if vocabulary is None:
-                    for w in ws:
-                        if w not in ids:
-                            ids[w] = len(names)
-                            names.append(w)
-                held.append(doc)
-                texts.append(np.array([ids.get(w, -1) for w in ws], np.int32))
-                size += len(ws)
-                if size >= SEGMENT_WORDS:
-                    yield pd.DataFrame([_segment(held, texts, names)])
-                    held, texts, size = [], [], 0
+                for first in range(0, max(len(ws) - overlap, 1), most - overlap):
+                    piece = ws[first : first + most] if len(ws) > most else ws
+                    held.append(doc)
+                    firsts.append(first)
+                    # a new word takes the next number
+                    texts.append(np.array([ids.setdefault(w, len(ids)) for w in piece], np.int32))
+                    size += len(piece)
+                    if size >= most:
+                        yield pd.DataFrame([_segment(held, firsts, texts, list(ids))])
+                        ids, held, firsts, texts, size = {}, [], [], [], 0
+                    if len(ws) <= most:
+                        break
         if size:
-            yield pd.DataFrame([_segment(held, texts, names)])
+            yield pd.DataFrame([_segment(held, firsts, texts, list(ids))])
 
     numbers = T.ArrayType(T.IntegerType())
     schema = T.StructType([
-        T.StructField("docs", T.ArrayType(kind)), T.StructField("lengths", numbers), T.StructField("terms", T.ArrayType(T.StringType())),
+        T.StructField("docs", T.ArrayType(kind)), T.StructField("firsts", T.ArrayType(T.LongType())), T.StructField("lengths", numbers), T.StructField("terms", T.ArrayType(T.StringType())),
         T.StructField("counts", numbers), T.StructField("rows", numbers), T.StructField("positions", numbers),
     ])
     rows = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("doc"), F.col(text).alias("text"))
@@ -180,7 +178,8 @@ def passages(index: DataFrame, items: list[tuple], frequency: dict[str, int], it
 
     Some exact run of half the unaltered words is in every such stretch, so a document is a candidate where the two
     rarest words of such a run stand at the right distance. ``items`` are (id, words) of one block. Every candidate is
-    compared, every match returned; a segment is searched by one task and nothing is shuffled.
+    compared, every match returned; a segment is searched by one task and nothing is shuffled. The block and its plan are a
+    broadcast variable. Of a document cut into pieces, a stretch longer than their overlap may be told in parts.
     """
     if edits not in (0, 1):
         raise ValueError("edits must be 0 or 1")
@@ -191,7 +190,10 @@ def passages(index: DataFrame, items: list[tuple], frequency: dict[str, int], it
             for a, b in _anchors(ws, frequency, run):
                 plans.setdefault((ws[a], ws[b], b - a), []).append((number, a))
 
+    sent = index.sparkSession.sparkContext.broadcast((items, plans))
+
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        items, plans = sent.value
         for batch in batches:
             for segment in batch.to_dict("records"):
                 found = _search(segment, items, plans, length, edits)
@@ -199,11 +201,11 @@ def passages(index: DataFrame, items: list[tuple], frequency: dict[str, int], it
                     r, number, n, spot, position = zip(*found, strict=True)
                     yield pd.DataFrame({
                         "doc": [segment["docs"][i] for i in r], "item": [items[i][0] for i in number],
-                        "n_words": np.array(n, np.int32), "spot": np.array(spot, np.int32), "position": np.array(position, np.int32),
+                        "n_words": np.array(n, np.int32), "spot": np.array(spot, np.int32), "position": np.array(position, np.int64) + segment["firsts"][list(r)],
                     })
 
     kind = index.schema["docs"].dataType.elementType
-    schema = T.StructType([T.StructField("doc", kind), T.StructField("item", item_type), *[T.StructField(c, T.IntegerType()) for c in ("n_words", "spot", "position")]])
+    schema = T.StructType([T.StructField("doc", kind), T.StructField("item", item_type), *[T.StructField(c, T.IntegerType()) for c in ("n_words", "spot")], T.StructField("position", T.LongType())])
     return index.mapInPandas(search, schema)
 
 
@@ -224,22 +226,21 @@ def _blocks(rows: Iterator, most: int) -> Iterator[list[tuple]]:
 def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", length: int = 16, edits: int = 1, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The documents that hold a passage of a test item, and the item: ``doc_id, item_id``, distinct.
 
-    The corpus is indexed once (for the words of all items while those fit one block, else for all words); items are
-    read in blocks of ``block_words`` words, and each block is searched against every segment. Items shorter than
+    The corpus is indexed once, with all its words; items are read in blocks of ``block_words`` words, and each block is
+    searched against every segment. Items shorter than
     ``length`` words are in no pair, nor are NULL or empty texts and NULL ids; repeated rows change nothing; extra columns are ignored; an empty
     table gives an empty result.
     """
     chosen = items.where(F.col(item_id).isNotNull() & F.col(text).isNotNull()).select(F.col(item_id).alias("item"), F.col(text).alias("text")).distinct()
-    blocks = _blocks(chosen.toLocalIterator(), block_words)
     item_type = items.schema[item_id].dataType
-    first, second = next(blocks, []), next(blocks, None)
-    vocabulary = {w for _, ws in first for w in ws} if second is None else None
-    index = build_index(docs, doc_id, text, vocabulary)
+    index = build_index(docs, doc_id, text)
     frequencies = stored(term_frequencies(index), "frequencies")
     found = None
-    for block in (b for b in (first, second, *blocks) if b is not None):
+    for block in _blocks(chosen.toLocalIterator(), block_words):
         mine = sorted({w for _, ws in block for w in ws})
         wanted = frequencies.join(F.broadcast(docs.sparkSession.createDataFrame([(w,) for w in mine], "term string")), "term", "left_semi")
         part = passages(index, block, {r["term"]: r["n"] for r in wanted.toLocalIterator()}, item_type, length, edits)
         found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = passages(index.limit(0), [], {}, item_type, length, edits)
     return found.select(F.col("doc").alias(doc_id), F.col("item").alias(item_id)).distinct()

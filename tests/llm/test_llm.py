@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyfold.llm import boosting, leakage, linkage, mixing, quality, queries
 
@@ -173,6 +174,24 @@ def test_leakage_against_brute_force(spark, monkeypatch):
     assert leakage.leaked_items(dd.limit(0), di, length=8).count() == 0 and leakage.leaked_items(dd, di.limit(0), length=8).count() == 0
 
 
+def test_long_documents_are_searched_whole(spark, monkeypatch):
+    """Documents of many segments: a passage is found wherever it stands, across the cuts too, and its position is told."""
+    monkeypatch.setattr(leakage, "SEGMENT_WORDS", 120)
+    monkeypatch.setattr(leakage, "OVERLAP_WORDS", 40)
+    item = [f"q{i}" for i in range(16)]
+    docs, at = [], {}
+    for i in range(40):
+        d = [f"w{rng.randrange(50)}" for _ in range(rng.choice([30, 119, 120, 121, 700]))]
+        at[i] = rng.randrange(len(d))
+        docs.append((i, " ".join(d[: at[i]] + item + d[at[i] :])))
+    dd = spark.createDataFrame([*docs, (99, " ".join(f"w{i % 50}" for i in range(900)))], "doc_id bigint, text string").coalesce(2)
+    index = leakage.build_index(dd, "doc_id", "text")
+    frequency = {r["term"]: r["n"] for r in leakage.term_frequencies(index).collect()}
+    got = leakage.passages(index, [("a", item)], frequency, T.StringType(), 12).collect()
+    assert {r["doc"]: r["position"] - r["spot"] for r in got if r["n_words"] == 16} == at
+    assert {r["doc"] for r in got} == set(at)
+
+
 def test_words_ignore_dress():
     plain = words("Clerk of Marmovik holds 63.1 cards and two, of band 85+")
     assert plain == ["clerk", "of", "marmovik", "holds", "631", "cards", "and", "two", "of", "band", "85"]
