@@ -124,16 +124,20 @@ def job_spans(spark: SparkSession, folder: str) -> DataFrame:
         F.max(valid).alias("any"),
     )
     never, always = F.lit(-(2**62)), F.lit(2**62)
-    return jobs.where("any").select(PERSON, F.coalesce("start", never).alias("start"), F.coalesce("end", always).alias("end"))
+    return stored(jobs.where("any").select(PERSON, F.coalesce("start", never).alias("start"), F.coalesce("end", always).alias("end")), "spans")
+
+
+#: Months of starts that are put in order together; what earlier months cover is carried in.
+SPAN_MONTHS = 24
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    return intervals.gaps(job_spans(spark, folder), PERSON, "start", "end", names=("gap_start_tick", "gap_end_tick"))
+    return intervals.gaps(job_spans(spark, folder), PERSON, "start", "end", F.floor(F.col("start") / SPAN_MONTHS), ("gap_start_tick", "gap_end_tick"))
 
 
 def p6_periods(spark: SparkSession, folder: str) -> DataFrame:
     """Continuous periods in work; NULL stands for an open start or end."""
-    found = intervals.periods(job_spans(spark, folder), PERSON, "start", "end")
+    found = intervals.periods(job_spans(spark, folder), PERSON, "start", "end", F.floor(F.col("start") / SPAN_MONTHS))
     shown = lambda c: F.when(F.abs(c) < 2**62, F.col(c))
     return found.select(PERSON, shown("start").alias("period_start_tick"), shown("end").alias("period_end_tick"))
 
