@@ -181,21 +181,30 @@ def additive(rows: DataFrame, child: str, parent: str, key: str, values: list[st
     return others.unionByName(sums, allowMissingColumns=True)
 
 
-def heaping(rows: DataFrame, by: list[str], age: str, n: str, ages: tuple[int, int] = (20, 95)) -> DataFrame:
-    """Excess at ages divisible by five over the mean of the two ages on either side: ``*by, age, n, expected, excess``."""
-    w = W.partitionBy(*by).orderBy(age)
-    near = [F.coalesce(F.sum(n).over(w.rangeBetween(d, d)), F.lit(0)) for d in (-2, -1, 1, 2)]
-    expected = (near[0] + near[1] + near[2] + near[3]) / 4
-    out = rows.withColumn("expected", expected).where((F.col(age) % 5 == 0) & F.col(age).between(*ages))
-    return out.select(*by, age, n, "expected", F.greatest(F.col(n) - F.col("expected"), F.lit(0.0)).alias("excess"))
-
-
-def deheap(rows: DataFrame, by: list[str], age: str, n: str) -> DataFrame:
-    """Counts by age with the excess at multiples of five moved to the two ages on either side in equal parts (``smoothed``)."""
-    extra = heaping(rows, by, age, n).where("excess > 0")
-    steps = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(-1.0 if d == 0 else 0.25).alias("f")) for d in (-2, -1, 0, 1, 2)])
-    moved = extra.withColumn("__s", F.explode(steps)).groupBy(*by, (F.col(age) + F.col("__s.d")).alias(age)).agg(F.sum(F.col("excess") * F.col("__s.f")).alias("__d"))
-    return rows.join(moved, [*by, age], "left").withColumn("smoothed", F.col(n) + F.coalesce("__d", F.lit(0.0))).drop("__d")
+def heaping(rows: DataFrame, by: list[str], age: str, n: str, least: int = 200) -> DataFrame:
+    """How much of the reported ages sits on multiples of five: ``*by, excess``.
+
+    The mass at 25, 30, .. 90 beyond the five-point moving mean there, over the mass from 22 to 93, between 0 and 0.6; 0
+    for fewer than ``least`` persons aged 20 to 95. Every age from 23 to 92 stands in the window of just one multiple
+    of five, so the moving means add up to a fifth of that mass and one aggregate suffices.
+    """
+    mass = lambda lo, hi, more=None: F.sum(F.when(F.col(age).between(lo, hi) & (F.lit(True) if more is None else more), F.col(n)).otherwise(0)).cast("double")
+    s = rows.groupBy(*by).agg(mass(25, 90, F.col(age) % 5 == 0).alias("__f"), mass(23, 92).alias("__w"), mass(22, 93).alias("__t"), mass(20, 95).alias("__all"))
+    usable = (F.col("__all") >= least) & (F.col("__w") > 0)
+    return s.select(*by, F.when(usable, clip((F.col("__f") - F.col("__w") / 5) / F.col("__t"), 0.0, 0.6)).otherwise(0.0).alias("excess"))
+
+
+def deheap(rows: DataFrame, by: list[str], age: str, n: str, last: int = 110) -> DataFrame:
+    """Counts by age with the excess share of the mass at multiples of five from 25 on given back to the two ages on either side,
+    in proportion to what these hold, in equal parts where they hold nothing (``smoothed``). ``rows`` has every age, with zeros."""
+    five = F.floor((F.col(age) + 2) / 5) * 5
+    part = W.partitionBy(*by, "__m")
+    at = F.col(age) == F.col("__m")
+    out = rows.join(heaping(rows, by, age, n), by).withColumn("__m", five)
+    out = out.withColumns({"__c": F.sum(F.when(at, F.col(n)).otherwise(0)).over(part) * F.col("excess"), "__s": F.sum(F.when(at, 0).otherwise(F.col(n))).over(part)})
+    moved = F.when(at, -F.col("__c")).otherwise(F.col("__c") * F.when(F.col("__s") > 0, F.col(n) / F.col("__s")).otherwise(0.25))
+    inside = F.col("__m").between(25, last - 2)
+    return out.withColumn("smoothed", F.greatest(F.col(n) + F.when(inside, moved).otherwise(0.0), F.lit(0.0))).drop("__m", "__c", "__s", "excess")
 
 
 def gompertz_grid(rows: DataFrame, by: list[str], age: str, deaths: str, exposure: str, a: list[float], b: list[float]) -> DataFrame:

@@ -361,14 +361,18 @@ def hot_deck(spark, d):
     return survey.hot_deck(rows, "income_cents", [["county", "sex", "education"], ["sex", "education"], ["sex"], []]).where("income_cents is null").select("truth_person_id", "imputed")
 
 
-def age_heaping(spark, d):
+def _ages(spark, d):
+    """Registered persons by sex and every age from 0 to 110."""
     n = register(spark, d, "population", "person_id").withColumn("age", age(F.lit(0), "birth_tick")).where("sex is not null and age between 0 and 110").groupBy("sex", "age").agg(F.count(F.lit(1)).alias("n"))
-    return survey.heaping(n, ["sex"], "age", "n")
+    return agg.densify(n, [n.select("sex").distinct(), spark.range(0, 111).withColumnRenamed("id", "age")], {"n": 0})
+
+
+def age_heaping(spark, d):
+    return survey.heaping(_ages(spark, d), ["sex"], "age", "n").select("sex", F.round("excess", 9).alias("excess"))
 
 
 def deheaped_ages(spark, d):
-    n = register(spark, d, "population", "person_id").withColumn("age", age(F.lit(0), "birth_tick")).where("sex is not null and age between 0 and 110").groupBy("sex", "age").agg(F.count(F.lit(1)).alias("n"))
-    return survey.deheap(n, ["sex"], "age", "n").select("sex", "age", "smoothed")
+    return survey.deheap(_ages(spark, d), ["sex"], "age", "n").select("sex", "age", F.round("smoothed", 6).alias("smoothed"))
 
 
 def benchmark_reconciled(spark, d):
@@ -426,9 +430,11 @@ _BLOCKS = f"""{_REG},
 pairs AS (SELECT DISTINCT a.record_id AS id_a, b.record_id AS id_b FROM a JOIN b ON a.sex = b.sex AND a.birth_tick = b.birth_tick AND a.given_code = b.given_code
   UNION SELECT a.record_id, b.record_id FROM a JOIN b ON a.sex = b.sex AND a.birth_tick = b.birth_tick AND a.family_code = b.family_code)"""
 _MOVES = """m AS (SELECT truth_event_id, tick, nullif(truth_household_id, 0) AS h, nullif(truth_dwelling_id, 0) AS dw, nullif(to_cell, -1) AS to_cell FROM ledger WHERE event_type IN (3, 4))"""
-_HEAP = f"""{_REG}, n AS (SELECT sex, floor((0 - birth_tick) / 12)::bigint AS age, count(*) AS n FROM a WHERE sex IS NOT NULL AND floor((0 - birth_tick) / 12) BETWEEN 0 AND 110 GROUP BY 1, 2),
-x AS (SELECT n.sex, n.age, n.n, (SELECT coalesce(sum(o.n), 0) FROM n o WHERE o.sex = n.sex AND abs(o.age - n.age) BETWEEN 1 AND 2) / 4.0 AS expected FROM n WHERE age % 5 = 0 AND age BETWEEN 20 AND 95),
-h AS (SELECT *, greatest(n - expected, 0)::double AS excess FROM x)"""
+_HEAP = f"""{_REG}, c AS (SELECT sex, floor((0 - birth_tick) / 12)::bigint AS age, count(*) AS n FROM a WHERE sex IS NOT NULL AND floor((0 - birth_tick) / 12) BETWEEN 0 AND 110 GROUP BY 1, 2),
+n AS (SELECT s.sex, t.age, coalesce(c.n, 0) AS n FROM (SELECT DISTINCT sex FROM c) s CROSS JOIN range(0, 111) t(age) LEFT JOIN c ON c.sex = s.sex AND c.age = t.age),
+m AS (SELECT *, avg(n) OVER (PARTITION BY sex ORDER BY age ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS mean FROM n),
+h AS (SELECT sex, CASE WHEN sum(n) FILTER (WHERE age BETWEEN 20 AND 95) < 200 THEN 0 ELSE
+  greatest(0, least(0.6, sum(n - mean) FILTER (WHERE age % 5 = 0 AND age BETWEEN 22 AND 93) / sum(n) FILTER (WHERE age BETWEEN 22 AND 93))) END::double AS excess FROM m GROUP BY 1)"""
 
 ORACLES = {
     "hierarchy_rollup": f"""WITH {_P} SELECT {_LEVELS}, count(*) AS persons, count(DISTINCT truth_household_id) AS households, count(*) FILTER (WHERE age < 16) AS children, count(*) FILTER (WHERE age >= 65) AS elders,
@@ -504,9 +510,11 @@ SELECT county, round(greatest(1.0, s / nullif(n, 0)), 8)::double AS factor FROM
     "hot_deck": f"""WITH {_P}, r AS (SELECT * FROM q WHERE age >= 16) SELECT r.truth_person_id, coalesce(
   (SELECT median(o.income_cents) FROM r o WHERE o.county = r.county AND o.sex = r.sex AND o.education = r.education), (SELECT median(o.income_cents) FROM r o WHERE o.sex = r.sex AND o.education = r.education),
   (SELECT median(o.income_cents) FROM r o WHERE o.sex = r.sex), (SELECT median(income_cents) FROM r)) AS imputed FROM r WHERE income_cents IS NULL""",
-    "age_heaping": f"WITH {_HEAP} SELECT sex, age, n, expected::double AS expected, excess FROM h",
-    "deheaped_ages": f"""WITH {_HEAP}, d AS (SELECT sex, age + s AS age, sum(excess * CASE WHEN s = 0 THEN -1 ELSE 0.25 END) AS d FROM h, (VALUES (-2), (-1), (0), (1), (2)) v(s) WHERE excess > 0 GROUP BY 1, 2)
-SELECT n.sex, n.age, n.n + coalesce(d.d, 0) AS smoothed FROM n LEFT JOIN d USING (sex, age)""",
+    "age_heaping": f"WITH {_HEAP} SELECT sex, round(excess, 9) AS excess FROM h",
+    "deheaped_ages": f"""WITH {_HEAP}, f AS (SELECT n.sex, n.age AS five, o.age, n.n * excess AS take, o.n, sum(o.n) OVER (PARTITION BY n.sex, n.age) AS near
+  FROM n JOIN h USING (sex) JOIN n o ON o.sex = n.sex AND abs(o.age - n.age) BETWEEN 1 AND 2 WHERE n.age % 5 = 0 AND n.age BETWEEN 25 AND 108),
+g AS (SELECT sex, age, take * CASE WHEN near > 0 THEN n / near ELSE 0.25 END AS d FROM f UNION ALL SELECT DISTINCT sex, five, -take FROM f), s AS (SELECT sex, age, sum(d) AS d FROM g GROUP BY 1, 2)
+SELECT n.sex, n.age, round(greatest(n.n + coalesce(s.d, 0), 0)::double, 6) AS smoothed FROM n LEFT JOIN s USING (sex, age)""",
     "benchmark_reconciled": f"""WITH {_P}, {_REG}, e AS (SELECT county, count(*)::double AS n FROM a WHERE county IS NOT NULL GROUP BY 1), t AS (SELECT state, count(*)::double AS t FROM q WHERE state IS NOT NULL GROUP BY 1)
 SELECT e.county, round(n + coalesce(t - sum(n) OVER (PARTITION BY g.state), 0) * n / sum(n) OVER (PARTITION BY g.state), 6) AS reconciled FROM e JOIN geography g USING (county) LEFT JOIN t ON t.state = g.state""",
     "nearest_seat": """WITH h AS (SELECT floor(cell / 128)::bigint AS r, cell % 128 AS c FROM household WHERE cell >= 0), s AS (SELECT county, floor((county * 256 + 128) / 128)::bigint AS r, (county * 256 + 128) % 128 AS c FROM geography),

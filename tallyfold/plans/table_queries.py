@@ -233,11 +233,15 @@ def focal_sum(spark, d):
 
 
 def flow_direction(spark, d):
-    return raster.flow_direction(grid(spark, d), "h").select("cell", "direction")
+    return raster.flow_direction(raster.on_border(grid(spark, d)), "h", "border").select("cell", "direction")
 
 
 def flow_accumulation(spark, d):
-    g = raster.flow_direction(grid(spark, d), "h")
+    """Cells draining through each cell of the surface as it is: its pits are outlets too."""
+    g = raster.on_border(grid(spark, d))
+    lower = raster.neighbours(g, "h").groupBy("row", "col").agg(F.min("value").alias("low"))
+    g = g.join(lower, ["row", "col"], "left").withColumn("ends", F.col("border") | F.coalesce(F.col("low") >= F.col("h"), F.lit(True)))
+    g = raster.flow_direction(g, "h", "ends")
     steps = F.array(*[F.lit(50 * a + b) for a, b in raster.NEIGHBOURS])
     edges = g.select("cell", F.when(F.col("direction") >= 0, F.col("cell") + F.get(steps, F.col("direction"))).alias("down"), F.lit(1).alias("w"))
     return raster.accumulate(edges, "cell", "down", "w")
@@ -253,7 +257,7 @@ def hillshade(spark, d):
 
 def filled_surface(spark, d):
     g = grid(spark, d).select("row", "col", "cell", F.col("h").cast("double").alias("h"), F.lit(0).alias("world"))
-    return raster.whole_grid(g, "world", "h", raster.fill_depressions, "filled").select("cell", "filled")
+    return raster.whole_grid(g, "world", "h", raster.flooded, "filled").select("cell", "filled")
 
 
 def gravity(spark, d):
@@ -405,10 +409,10 @@ SELECT component, round(value, 5) AS value, ceiling, decides, passed FROM g UNIO
     "additive_reconciled": f"WITH {_R} SELECT level, unit, estimate FROM r WHERE level <> 'state' UNION ALL SELECT 'state', n_regionkey::bigint, sum(estimate) FROM r JOIN nation ON level = 'county' AND unit = n_nationkey GROUP BY 2",
     "protected_cells": "SELECT c_nationkey, c_mktsegment, count(*) AS n FROM customer GROUP BY 1, 2 HAVING count(*) < 12",
     "focal_sum": f"WITH {_G} SELECT a.cell, sum(b.h)::bigint AS focal_sum FROM g a, (SELECT i AS dr, j AS dc FROM range(-1, 2) x(i), range(-1, 2) y(j)) v JOIN g b ON b.row = a.row + v.dr AND b.col = a.col + v.dc GROUP BY 1",
-    "flow_direction": f"""WITH {_G}, n AS (SELECT a.cell, v.k, (a.h - b.h) / CASE WHEN v.k IN (0, 2, 5, 7) THEN sqrt(2) ELSE 1 END AS drop FROM g a, {_NEAR} JOIN g b ON b.row = a.row + v.dr AND b.col = a.col + v.dc),
-m AS (SELECT cell, arg_min(k, (-drop, k)) AS k FROM n WHERE drop > 0 GROUP BY 1) SELECT g.cell, coalesce(m.k, -1) AS direction FROM g LEFT JOIN m USING (cell)""",
-    "flow_accumulation": f"""WITH RECURSIVE {_G}, n AS (SELECT a.cell, b.cell AS to_cell, v.k, (a.h - b.h) / CASE WHEN v.k IN (0, 2, 5, 7) THEN sqrt(2) ELSE 1 END AS drop FROM g a, {_NEAR} JOIN g b ON b.row = a.row + v.dr AND b.col = a.col + v.dc),
-m AS (SELECT cell, arg_min(to_cell, (-drop, k)) AS down FROM n WHERE drop > 0 GROUP BY 1),
+    "flow_direction": f"""WITH {_G}, n AS (SELECT a.cell, v.k, a.h - b.h AS drop FROM g a, {_NEAR} JOIN g b ON b.row = a.row + v.dr AND b.col = a.col + v.dc),
+m AS (SELECT cell, arg_min(k, (-drop, k)) AS k FROM n GROUP BY 1 HAVING count(*) = 8) SELECT g.cell, coalesce(m.k, -1) AS direction FROM g LEFT JOIN m USING (cell)""",
+    "flow_accumulation": f"""WITH RECURSIVE {_G}, n AS (SELECT a.cell, b.cell AS to_cell, v.k, a.h - b.h AS drop FROM g a, {_NEAR} JOIN g b ON b.row = a.row + v.dr AND b.col = a.col + v.dc),
+m AS (SELECT cell, arg_min(to_cell, (-drop, k)) AS down FROM n GROUP BY 1 HAVING count(*) = 8 AND max(drop) > 0),
 w AS (SELECT cell, cell AS here FROM g UNION ALL SELECT w.cell, m.down FROM w JOIN m ON m.cell = w.here) SELECT here AS cell, count(*)::double AS total FROM w GROUP BY 1""",
     "gradient": f"""WITH {_G}, s AS (SELECT cell, h, lag(h) OVER r AS ra, lead(h) OVER r AS rb, lag(h) OVER c AS ca, lead(h) OVER c AS cb FROM g WINDOW r AS (PARTITION BY col ORDER BY row), c AS (PARTITION BY row ORDER BY col))
 SELECT cell, round(CASE WHEN ra IS NULL AND rb IS NULL THEN 0 WHEN ra IS NULL THEN rb - h WHEN rb IS NULL THEN h - ra ELSE (rb - ra) / 2 END, 4)::double AS d_row, round(CASE WHEN ca IS NULL AND cb IS NULL THEN 0 WHEN ca IS NULL THEN cb - h WHEN cb IS NULL THEN h - ca ELSE (cb - ca) / 2 END, 4)::double AS d_col FROM s""",

@@ -213,12 +213,42 @@ def test_accumulation_on_a_chain_and_a_tree(spark):
     assert out[0] == 1 and out[19] == 20 and out[20] == 26 and out[40] == 46 and out[101] == 2
 
 
-def test_depressions_are_filled():
-    z = np.array([[5.0, 5, 5, 5], [5, 1, 2, 5], [5, 2, 1, 4], [5, 5, 5, 5]])
-    assert raster.fill_depressions(z)[1:3, 1:3].tolist() == [[4, 4], [4, 4]]
+def test_flooded_surface_drains(spark):
+    """Every cell of a flooded surface has a strictly lower neighbour on its way to the sea or the edge, and is raised no more than needed."""
+    z = np.random.default_rng(4).integers(0, 9, (9, 9)).astype(float)
+    z[4, 4] = -5
+    filled = raster.flooded(z, -1.0)
+    assert (filled >= z).all() and filled[4, 4] == -5
+    paths = z.copy()  # lowest highest point on the way out, by relaxation
+    inner = np.ones_like(z, bool)
+    inner[[0, -1], :] = inner[:, [0, -1]] = False
+    inner &= z > -1
+    paths[inner] = np.inf
+    for _ in range(81):
+        near = np.min([np.pad(paths, 1, constant_values=np.inf)[1 + a : 10 + a, 1 + b : 10 + b] for a, b in raster.NEIGHBOURS], 0)
+        paths = np.where(inner, np.minimum(paths, np.maximum(z, near)), paths)
+    assert np.allclose(filled, paths, atol=1e-6)
+    rows = [(int(r * 9 + c), int(r), int(c), float(filled[r, c]), bool(not inner[r, c])) for r in range(9) for c in range(9)]
+    grid = spark.createDataFrame(rows, "cell bigint, row bigint, col bigint, h double, outlet boolean")
+    got = {r["cell"]: r["direction"] for r in raster.flow_direction(grid, "h", "outlet").collect()}
+    for cell, r, c, h, outlet in rows:
+        drops = [h - filled[r + a, c + b] if 0 <= r + a < 9 and 0 <= c + b < 9 else -np.inf for a, b in raster.NEIGHBOURS]
+        assert got[cell] == (-1 if outlet else int(np.argmax(drops))) and (outlet or max(drops) > 0)
+
+
+def test_fields_and_rain_have_their_shapes():
+    z = np.arange(16.0).reshape(4, 4)
     assert abs(raster.spectral_field(16, 20, 2.0, 1).std() - 1) < 1e-9 and raster.rain_steps(z, 3).shape == (3, 4, 4)
 
 
+def test_discharge_follows_the_rain(spark):
+    rain = spark.createDataFrame([(c, h, float(c + h)) for c in range(3) for h in range(4)], "cell bigint, hour bigint, fall double")
+    down = spark.createDataFrame([(0, 1), (1, 2), (2, None)], "cell bigint, down bigint")
+    got = {(r["cell"], r["hour"]): r["discharge"] for r in raster.discharge(rain, down, "cell", "hour", "fall", "down", 2).collect()}
+    mean = lambda c, h: np.mean([c + k for k in range(max(0, h - 1), h + 1)])
+    assert all(abs(got[c, h] - sum(mean(k, h) for k in range(c + 1))) < 1e-9 for c in range(3) for h in range(4))
+
+
 def test_cohorts_are_conserved(spark):
     cube = spark.createDataFrame([("r", a, s, 10.0) for a in (0, 30, 110) for s in (0, 1)], "r string, age int, sex int, n double")
     survival = spark.createDataFrame([(a, s, 1.0) for a in range(111) for s in (0, 1)], "age int, sex int, p double")
