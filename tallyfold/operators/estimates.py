@@ -176,7 +176,8 @@ def separation(failures: DataFrame, control: str, gate: str, world: str, failed:
 
 
 def level_gap(rows: DataFrame, region: str, a: str, b: str, weight: str) -> DataFrame:
-    """Disagreement of two level estimates: per region the log gap of the weighted sums, with the national one in quadrature: ``region, gap``."""
-    r = rows.groupBy(region).agg(F.log(F.sum(F.col(a) * F.col(weight)) / F.sum(F.col(b) * F.col(weight))).alias("__g"))
-    whole = rows.agg(F.log(F.sum(F.col(a) * F.col(weight)) / F.sum(F.col(b) * F.col(weight))).alias("__n"))
+    """Disagreement of two level estimates: per region the log gap of the weighted sums, with the national one in quadrature:
+    ``region, gap``; NULL where a sum is zero."""
+    gap = F.log(ratio(F.sum(F.col(a) * F.col(weight)), F.sum(F.col(b) * F.col(weight))))
+    r, whole = rows.groupBy(region).agg(gap.alias("__g")), rows.agg(gap.alias("__n"))
     return r.crossJoin(F.broadcast(whole)).select(region, F.sqrt(F.col("__g") * F.col("__g") + F.col("__n") * F.col("__n")).alias("gap"))
