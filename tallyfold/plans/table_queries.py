@@ -416,6 +416,15 @@ m AS (SELECT cell, arg_min(to_cell, (-drop, k)) AS down FROM n GROUP BY 1 HAVING
 w AS (SELECT cell, cell AS here FROM g UNION ALL SELECT w.cell, m.down FROM w JOIN m ON m.cell = w.here) SELECT here AS cell, count(*)::double AS total FROM w GROUP BY 1""",
     "gradient": f"""WITH {_G}, s AS (SELECT cell, h, lag(h) OVER r AS ra, lead(h) OVER r AS rb, lag(h) OVER c AS ca, lead(h) OVER c AS cb FROM g WINDOW r AS (PARTITION BY col ORDER BY row), c AS (PARTITION BY row ORDER BY col))
 SELECT cell, round(CASE WHEN ra IS NULL AND rb IS NULL THEN 0 WHEN ra IS NULL THEN rb - h WHEN rb IS NULL THEN h - ra ELSE (rb - ra) / 2 END, 4)::double AS d_row, round(CASE WHEN ca IS NULL AND cb IS NULL THEN 0 WHEN ca IS NULL THEN cb - h WHEN cb IS NULL THEN h - ca ELSE (cb - ca) / 2 END, 4)::double AS d_col FROM s""",
+    "hillshade": f"""WITH {_G}, z AS (SELECT cell, row, col, h / 1e5::double AS h FROM g), s AS (SELECT cell, h, lag(h) OVER r AS ra, lead(h) OVER r AS rb, lag(h) OVER c AS ca, lead(h) OVER c AS cb FROM z WINDOW r AS (PARTITION BY col ORDER BY row), c AS (PARTITION BY row ORDER BY col)),
+d AS (SELECT cell, CASE WHEN ra IS NULL AND rb IS NULL THEN 0 WHEN ra IS NULL THEN rb - h WHEN rb IS NULL THEN h - ra ELSE (rb - ra) / 2 END AS dr, CASE WHEN ca IS NULL AND cb IS NULL THEN 0 WHEN ca IS NULL THEN cb - h WHEN cb IS NULL THEN h - ca ELSE (cb - ca) / 2 END AS dc FROM s),
+t AS (SELECT cell, atan(sqrt(dr * dr + dc * dc)) AS slope, atan2(-dr, dc) AS aspect FROM d)
+SELECT cell, round(greatest(least(sin(radians(45)) * cos(slope) + cos(radians(45)) * sin(slope) * cos(radians(315) - aspect), 1), 0), 6) AS shade FROM t""",
+    "cohort_step": f"""WITH p0 AS (SELECT floor(nullif(cell, -1) / 256)::int AS county, floor((0 - birth_tick) / 12)::bigint AS age, nullif(sex, -1) AS sex FROM person WHERE is_alive),
+c0 AS (SELECT p0.county, age, sex, count(*)::double AS n FROM p0 WHERE sex IS NOT NULL AND p0.county IS NOT NULL AND age BETWEEN 0 AND 110 GROUP BY ALL),
+{", ".join(f"""c{i + 1} AS (SELECT county, age, sex, sum(n) AS n FROM (SELECT county, least(age + 1, 110) AS age, sex, n * exp(-exp(-9.5 + 0.09 * age)) AS n FROM c{i}
+  UNION ALL SELECT county, 0, s, sum(n) FILTER (WHERE sex = 1 AND age BETWEEN 18 AND 45) * 0.06 / 2 FROM c{i}, (VALUES (0), (1)) v(s) GROUP BY county, s HAVING count(*) FILTER (WHERE sex = 1 AND age BETWEEN 18 AND 45) > 0) GROUP BY ALL)""" for i in range(3))}
+SELECT county, round(sum(n), 5) AS n FROM c3 GROUP BY 1""",
     "gravity": """WITH s AS (SELECT c_nationkey AS place, floor(c_nationkey / 5) AS r, c_nationkey % 5 AS c, count(*) AS mass FROM customer GROUP BY 1), w AS (SELECT a.place AS origin, b.place, b.mass * exp(-greatest(abs(a.r - b.r), abs(a.c - b.c)) / 2.0::double) AS w FROM s a JOIN s b ON a.place <> b.place)
 SELECT origin, place, round(w / sum(w) OVER (PARTITION BY origin), 8) AS share FROM w""",
     "present_value": "SELECT o_orderpriority, round(sum(o_totalprice * pow(1.03, -((year(o_orderdate) - 1992) * 12 + month(o_orderdate)) / 12.0)), 1) AS present_value FROM orders GROUP BY 1",
