@@ -8,9 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-#: Rows up to which a list of sites is sent to every task.
-SITES_TO_BROADCAST = 100_000
-
+from tallyfold.session import stored
 
 def unique_rows(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Rows whose key occurs once; decided by aggregation, so a key with very many rows is never gathered."""
@@ -64,16 +62,33 @@ def asof_join(facts: DataFrame, changes: DataFrame, by: str, at: str, since: str
 def nearest_site(points: DataFrame, sites: DataFrame, row: str = "row", col: str = "col", site: str = "site") -> DataFrame:
     """``points`` with the site at the smallest Chebyshev distance (ties: the smallest site id) and that distance.
 
-    ``sites`` (site, row, col) is a list of facilities; it is collected once and put into every row's expression only
-    up to ``SITES_TO_BROADCAST`` rows, beyond which the query is refused: sites belong to a grid of bounded size.
+    Places are searched in squares that double in size: a place meets the sites of its own square and the eight around
+    it by an equi-join, and is done once it has one within the length of a square; the others go on. Any number of sites
+    and points; points of one place are searched once. Both columns are NULL for a point without a place, or if there are no sites.
     """
-    rows = sites.select(site, row, col).limit(SITES_TO_BROADCAST + 1)
-    if rows.count() > SITES_TO_BROADCAST:
-        raise ValueError(f"more than {SITES_TO_BROADCAST} sites")
-    listed = rows.agg(F.array_sort(F.collect_list(F.struct(F.col(site).alias("s"), F.col(row).alias("r"), F.col(col).alias("c")))).alias("__sites"))
-    far = lambda s: F.greatest(F.abs(s["r"] - F.col(row)), F.abs(s["c"] - F.col(col)))
-    best = F.array_min(F.transform("__sites", lambda s: F.struct(far(s).alias("distance"), s["s"].alias("site"))))
-    return points.crossJoin(F.broadcast(listed)).withColumn("__best", best).select(*points.columns, F.col("__best.site").alias("nearest"), F.col("__best.distance").alias("distance"))
+    near = sites.where(F.col(row).isNotNull() & F.col(col).isNotNull()).groupBy(F.col(row).alias("__r"), F.col(col).alias("__c")).agg(F.min(site).alias("__s"))
+    left = points.where(F.col(row).isNotNull() & F.col(col).isNotNull()).select(row, col).distinct()
+    ends = [df.agg(F.min(a), F.max(a), F.min(b), F.max(b)).first() for df, a, b in ((near, "__r", "__c"), (left, row, col))]
+    found, length = None, 1
+    if all(e[0] is not None for e in ends):
+        span = max(max(e[1] for e in ends) - min(e[0] for e in ends), max(e[3] for e in ends) - min(e[2] for e in ends)) + 1
+        steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+        while True:
+            square = lambda c: F.floor(F.col(c) / length)  # noqa: B023, E731
+            sent = near.withColumn("__z", F.explode(steps)).select("__r", "__c", "__s", (square("__r") + F.col("__z.i")).alias("__i"), (square("__c") + F.col("__z.j")).alias("__j"))
+            far = F.greatest(F.abs(F.col("__r") - F.col(row)), F.abs(F.col("__c") - F.col(col)))
+            met = left.withColumns({"__i": square(row), "__j": square(col)}).join(sent, ["__i", "__j"], "left")
+            best = met.groupBy(row, col).agg(F.min(F.struct(far.alias("distance"), F.col("__s").alias("site"))).alias("__b"))
+            best = stored(best.withColumn("__done", F.coalesce(F.col("__b.distance") <= length, F.lit(False))), "nearest")
+            done = best.where("__done").select(row, col, "__b")
+            found = done if found is None else found.unionByName(done)
+            left = best.where("not __done").select(row, col)
+            if length > span or left.isEmpty():
+                break
+            length *= 2
+    if found is None:
+        found = left.limit(0).select(row, col, F.lit(None).cast(f"struct<distance:bigint, site:{sites.schema[site].dataType.simpleString()}>").alias("__b"))
+    return points.join(found, [row, col], "left").select(*points.columns, F.col("__b.site").alias("nearest"), F.col("__b.distance").alias("distance"))
 
 
 def one_to_one(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:

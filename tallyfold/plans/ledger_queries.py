@@ -114,10 +114,13 @@ def simulated_register(spark, d):
 
 
 def admitted_to_beds(spark, d):
-    """A month's admissions matched to twenty beds per hospital, first come first served."""
-    asked = first_events(load(spark, d, "ledger").where("tick = 30"), [10], ["tick", "truth_hospital_id"], ["truth_hospital_id"]).where("truth_hospital_id is not null")
-    beds = load(spark, d, "ledger").where("truth_hospital_id > 0").select("truth_hospital_id").distinct().withColumn("bed", F.explode(F.sequence(F.lit(1), F.lit(20))))
-    return generators.assign_free(asked, beds, ["truth_hospital_id"], [EVENT], "bed").select(EVENT, "bed")
+    """The admissions of every month matched to the beds of their hospital, as many as its largest bed number, first come first served."""
+    ledger = load(spark, d, "ledger")
+    asked = first_events(ledger, [10], ["tick", "truth_hospital_id"], ["truth_hospital_id"]).where("truth_hospital_id is not null")
+    sizes = ledger.where("truth_hospital_id > 0").groupBy("truth_hospital_id").agg(F.coalesce(F.max("bed_number"), F.lit(0)).alias("beds"))
+    months = asked.select("truth_hospital_id", "tick").distinct().join(sizes, "truth_hospital_id").where("beds > 0")
+    free = months.withColumn("bed", F.explode(F.sequence(F.lit(1), F.col("beds"))))
+    return generators.assign_free(asked, free, ["truth_hospital_id", "tick"], [EVENT], "bed").select(EVENT, "bed")
 
 
 def survey_halves(spark, d):
@@ -158,6 +161,8 @@ SELECT floor(cell / 256)::bigint AS county, sum(e - s)::bigint AS months FROM s
     "posterior_mortality": f"""WITH {_P}, {_D}, t AS (SELECT sex, age, count(died)::double AS d, count(*)::double AS e FROM q LEFT JOIN deaths USING (truth_person_id) WHERE is_alive AND sex IS NOT NULL AND age BETWEEN 40 AND 100 GROUP BY 1, 2),
 f AS (SELECT sex, (-9 + 0.25 * i)::double AS a, (0.04 + 0.01 * j)::double AS b, sum(d * (-9 + 0.25 * i + (0.04 + 0.01 * j) * age)::double - e * exp((-9 + 0.25 * i + (0.04 + 0.01 * j) * age)::double)) AS fit FROM t, range(0, 17) x(i), range(0, 9) y(j) GROUP BY 1, 2, 3),
 w AS (SELECT *, exp(fit - max(fit) OVER (PARTITION BY sex)) AS w FROM f) SELECT sex, round(sum(w * a) / sum(w), 5) AS a, round(sum(w * b) / sum(w), 6) AS b FROM w GROUP BY 1""",
-    "admitted_to_beds": """WITH f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY truth_event_id ORDER BY recorded_tick, (nullif(truth_hospital_id, 0) IS NULL)::int) AS place FROM ledger WHERE event_type = 10 AND tick = 30) WHERE place = 1),
-r AS (SELECT truth_event_id, row_number() OVER (PARTITION BY truth_hospital_id ORDER BY truth_event_id) AS k FROM f WHERE truth_hospital_id <> 0) SELECT truth_event_id, CASE WHEN k <= 20 THEN k END::int AS bed FROM r""",
+    "admitted_to_beds": """WITH f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY truth_event_id ORDER BY recorded_tick, (nullif(truth_hospital_id, 0) IS NULL)::int + (tick IS NULL)::int) AS place FROM ledger WHERE event_type = 10) WHERE place = 1),
+b AS (SELECT truth_hospital_id, coalesce(max(bed_number), 0) AS beds FROM ledger WHERE truth_hospital_id > 0 GROUP BY 1),
+r AS (SELECT truth_event_id, truth_hospital_id, row_number() OVER (PARTITION BY truth_hospital_id, tick ORDER BY truth_event_id) AS k FROM f WHERE truth_hospital_id <> 0)
+SELECT truth_event_id, CASE WHEN k <= beds THEN k END::int AS bed FROM r LEFT JOIN b USING (truth_hospital_id)""",
 }

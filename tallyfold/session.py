@@ -11,12 +11,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one is set only where none is configured."""
+    """The shared folder named by ``spark.checkpoint.dir``.
+
+    A temporary one is made only where none is configured and everything runs on this machine; a cluster must name one,
+    since its machines could not write to a folder of the driver together.
+    """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
-    configured = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallyfold-checkpoint-")
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        configured = tempfile.mkdtemp(prefix="tallyfold-checkpoint-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
 

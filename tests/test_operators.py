@@ -95,6 +95,19 @@ def test_nearest_site_ties(spark):
     p = spark.createDataFrame([(0, 0), (5, 5)], "row int, col int")
     s = spark.createDataFrame([(7, 0, 2), (3, 2, 0), (9, 6, 6)], "site int, row int, col int")
     assert rows(joins.nearest_site(p, s), "row", "nearest", "distance") == [(0, 3, 2), (5, 9, 1)]
+    assert rows(joins.nearest_site(p, s.limit(0)), "row", "nearest", "distance") == [(0, None, None), (5, None, None)]
+    assert joins.nearest_site(p.limit(0), s).count() == 0
+
+
+def test_nearest_site_against_all_sites(spark):
+    r = np.random.default_rng(6)
+    sites = [(i, int(a), int(b)) for i, (a, b) in enumerate(r.integers(-300, 300, (40, 2)))]
+    points = [(int(a), int(b)) for a, b in r.integers(-400, 400, (300, 2))] + [(None, 3)]
+    got = joins.nearest_site(spark.createDataFrame(points, "row bigint, col bigint"), spark.createDataFrame(sites, "site bigint, row bigint, col bigint")).collect()
+    assert len(got) == 301
+    for g in got:
+        expected = (None, None) if g["row"] is None else min((max(abs(g["row"] - a), abs(g["col"] - b)), i) for i, a, b in sites)
+        assert (g["distance"], g["nearest"]) == expected
 
 
 def test_one_to_one_join_refuses_repeats(spark):

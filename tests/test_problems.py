@@ -203,14 +203,14 @@ def brute_changes(a, b):
     return sorted(((k, "added" if k not in a else "removed" if k not in b else "changed") for k in a.keys() | b.keys() if a.get(k) != b.get(k)), key=repr)
 
 
-@pytest.mark.parametrize("levels", [1, 3, None])
-def test_snapshot_changes(spark, levels):
+@pytest.mark.parametrize("bits", [1, 6, None])
+def test_snapshot_changes(spark, bits):
     make = lambda: [(rng.choice([None, *range(80)]), rng.choice([None, "x", "y"]), rng.choice([None, 1.5, 2.5])) for _ in range(120)]
     a = make() + [(5, "x", 1.5)] * 200
     b = a[:100] + make()[:20] + [(5, "x", 1.5)]
     schema = "key bigint, s string, d double"
     da, db = spark.createDataFrame(a, schema).withColumn("leaf", F.lit(0)), spark.createDataFrame(b, schema)
-    out = snapshots.snapshot_changes(da, db, "key", ["s", "d"], levels)
+    out = snapshots.snapshot_changes(da, db, "key", ["s", "d"], bits)
     assert rows(out, "key", "change") == brute_changes(a, b)
 
 
@@ -225,8 +225,25 @@ def test_snapshots_equal_or_empty(spark):
 def test_only_differing_leaves_are_compared(spark):
     a = spark.range(5000).select(F.col("id").alias("key"), F.lit("x").alias("s"))
     b = a.withColumn("s", F.when(F.col("key") == 17, "y").otherwise(F.col("s")))
-    leaves = [snapshots.leaf_digests(x, "key", ["s"], 2) for x in (a, b)]
-    assert snapshots.differing_leaves(*leaves, 2).count() == 1
+    leaves = [snapshots.leaf_digests(x, "key", ["s"], 7) for x in (a, b)]
+    assert snapshots.differing_leaves(*leaves, 7).count() == 1
+
+
+def test_few_changes_leave_most_rows_uncompared(spark):
+    """One key in a thousand changed: at most one leaf in ten or so differs, and the rows of the others are not compared."""
+    a = spark.range(50_000).select(F.col("id").alias("key"), F.lit("x").alias("s"))
+    b = a.withColumn("s", F.when(F.col("key") % 1000 == 17, "y").otherwise(F.col("s")))
+    bits = snapshots.leaf_bits(50_000)
+    differ = snapshots.differing_leaves(*[snapshots.leaf_digests(x, "key", ["s"], bits) for x in (a, b)], bits)
+    assert 32 <= 50_000 / 2**bits <= 64 and 40 <= differ.count() <= 50
+    compared = a.where(F.col("key").isNotNull()).withColumn("leaf", snapshots._leaf("key", bits)).join(differ, "leaf", "left_semi").count()
+    assert compared < 0.06 * 50_000
+
+
+def test_a_value_moved_across_a_null_is_a_change(spark):
+    a = spark.createDataFrame([(1, 5, None), (2, 1, 1)], "key bigint, g bigint, f bigint")
+    b = spark.createDataFrame([(1, None, 5), (2, 1, 1)], "key bigint, g bigint, f bigint")
+    assert rows(snapshots.snapshot_changes(a, b, "key", ["g", "f"]), "key", "change") == [(1, "changed")]
 
 
 # intervals
