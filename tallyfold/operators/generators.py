@@ -149,3 +149,65 @@ def annual_shocks(spark: SparkSession, years: int, seed: int, probability: float
     """``year, multiplier``: a multiplier in [low, high) in shock years, else 1."""
     rows = spark.range(0, years).withColumnRenamed("id", "year")
     return rows.withColumn("multiplier", F.when(uniform(seed, "year") < probability, low + (high - low) * uniform(seed + 1, "year")).otherwise(1.0))
+
+
+def establishment_churn(establishments: DataFrame, persons: DataFrame, tick: int, seed: int, share: float) -> tuple[DataFrame, DataFrame]:
+    """Establishments that close in a month and those that open in their place: ``closed`` (their rows) and ``opened`` with the
+    enterprise and industry of the closed one at the cell of a living adult.
+
+    Each is drawn on its own by key; the nth closing is paired with the nth of the living adults in an order by key, so as
+    many open as close while there are adults. ``establishments`` has truth_establishment_id, truth_enterprise_id, industry.
+    """
+    from tallyfold.operators.windows import place
+
+    closed = establishments.where(uniform(seed, F.lit(tick), "truth_establishment_id") < share)
+    adults = persons.where(F.col("is_alive") & ((F.lit(tick) - F.col("birth_tick")) >= 216) & F.col("cell").isNotNull()).withColumn("__u", uniform(seed + 1, F.lit(tick), "truth_person_id"))
+    numbered_closed = place(closed.withColumn("__v", uniform(seed + 2, F.lit(tick), "truth_establishment_id")), [], ["__v", "truth_establishment_id"], "__n")
+    numbered_adults = place(adults, [], ["__u", "truth_person_id"], "__n").select("__n", F.col("cell").alias("new_cell"), F.col("truth_person_id").alias("founder_id"))
+    opened = numbered_closed.join(numbered_adults, "__n").select(F.col("truth_establishment_id").alias("replaces"), "truth_enterprise_id", "industry", "new_cell", "founder_id")
+    return closed, opened
+
+
+def household_formation(persons: DataFrame, tick: int, seed: int, yearly: Column, role_child: int = 2) -> DataFrame:
+    """Those who leave home in a month, at most one of a household: living, 18 to 30, in the role of a child, in a household of two or more.
+
+    ``yearly`` is the hazard of a row (an expression of covariates). Of several who would leave, the one with the smallest
+    draw does: ``truth_person_id, truth_household_id, cell``.
+    """
+    living = persons.where(F.col("is_alive") & F.col("truth_household_id").isNotNull())
+    size = living.groupBy("truth_household_id").agg(F.count(F.lit(1)).alias("__size")).where(F.col("__size") >= 2)
+    years = F.floor((F.lit(tick) - F.col("birth_tick")) / 12)
+    u = uniform(seed, F.lit(tick), "truth_person_id")
+    going = living.where(years.between(18, 30) & (F.col("role") == role_child)).where(u < monthly(yearly)).join(size.select("truth_household_id"), "truth_household_id", "left_semi")
+    first = going.groupBy("truth_household_id").agg(F.min(F.struct(u.alias("u"), "truth_person_id", "cell")).alias("z"))
+    return first.select(F.col("z.truth_person_id").alias("truth_person_id"), "truth_household_id", F.col("z.cell").alias("cell"))
+
+
+def job_turnover(jobs: DataFrame, persons: DataFrame, tick: int, seed: int, share: float) -> tuple[DataFrame, DataFrame]:
+    """Jobs that end in a month and who takes them: ``ended`` (their rows) and ``hired`` (truth_establishment_id, truth_person_id, replaces).
+
+    Jobs are conserved as long as there are living adults without a job: vacancies of establishments left without any job
+    are filled first; candidates come in the order of exponential priorities with the root of their education as weight.
+    ``jobs`` has truth_job_id, truth_establishment_id, truth_person_id.
+    """
+    from tallyfold.operators.windows import place
+
+    ended = jobs.where(uniform(seed, F.lit(tick), "truth_job_id") < share)
+    staffed = jobs.join(ended.select("truth_job_id"), "truth_job_id", "left_anti").select("truth_establishment_id", F.lit(1).alias("__staffed")).distinct()
+    vacancies = ended.join(staffed, "truth_establishment_id", "left").withColumn("__o", F.coalesce("__staffed", F.lit(0)))
+    idle = persons.where(F.col("is_alive") & ((F.lit(tick) - F.col("birth_tick")) >= 216)).join(jobs.select("truth_person_id").distinct(), "truth_person_id", "left_anti")
+    idle = idle.withColumn("__p", -F.log(uniform(seed + 1, F.lit(tick), "truth_person_id")) / F.sqrt(F.greatest(F.coalesce(F.col("education"), F.lit(0)), F.lit(0)) + 1.0))
+    a = place(vacancies, [], ["__o", "truth_job_id"], "__n").select("__n", "truth_establishment_id", F.col("truth_job_id").alias("replaces"))
+    b = place(idle, [], ["__p", "truth_person_id"], "__n").select("__n", "truth_person_id")
+    return ended, a.join(b, "__n").select("truth_establishment_id", "truth_person_id", "replaces")
+
+
+def stay_months(days: str | Column) -> Column:
+    """Months of a stay given in days: begun months of thirty days, at least one."""
+    d = F.col(days) if isinstance(days, str) else days
+    return F.greatest(F.lit(1), F.ceil(d / 30)).cast("int")
+
+
+def newborn_frailty(mother_centi: Column, z: Column, regression: float = 0.3, spread: float = 0.25) -> Column:
+    """Frailty in hundredths, lognormal around the mother's drawn to one."""
+    return F.rint(100 * F.exp(regression * F.log(F.coalesce(mother_centi, F.lit(100)) / 100) + spread * z)).cast("int")

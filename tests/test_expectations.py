@@ -212,6 +212,28 @@ def expect_simulated_register(spark, got):
     assert len(got) > 0 and got == rows(spark, "simulated_register")
 
 
+def expect_month_closings(spark, got):
+    """Some establishments close, and each is followed by one of the same enterprise and industry."""
+    assert len(got) > 0 and all(r["same"] for r in got) and len({r["truth_establishment_id"] for r in got}) == len(got)
+
+
+def expect_leaving_home(spark, got):
+    """One of a household at most, living, 18 to 30, in the role of a child, not alone."""
+    people = {r[0]: r[1:] for r in sql("SELECT truth_person_id, truth_household_id, floor((12 - birth_tick) / 12), role, is_alive FROM person")}
+    size = dict(sql("SELECT truth_household_id, count(*) FROM person WHERE is_alive GROUP BY 1"))
+    assert len(got) > 0 and len({r["truth_household_id"] for r in got}) == len(got)
+    for r in got:
+        home, years, role, alive = people[r["truth_person_id"]]
+        assert home == r["truth_household_id"] and 18 <= years <= 30 and role == 2 and alive and size[home] >= 2
+
+
+def expect_month_hires(spark, got):
+    """Every job that ends is taken by somebody alive and without a job, nobody twice, as long as there are such."""
+    hired = [r["truth_person_id"] for r in got if r["truth_person_id"] is not None]
+    alive = {r[0] for r in sql("SELECT truth_person_id FROM person WHERE is_alive AND birth_tick <= 30 - 216")}
+    assert len(got) > 0 and len(set(hired)) == len(hired) and set(hired) <= alive and len({r["replaces"] for r in got}) == len(got)
+
+
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLES)))
 def test_expected(spark, name):
 
