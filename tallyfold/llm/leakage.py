@@ -8,6 +8,7 @@ item, and then compares item and document word by word around the diagonals foun
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +42,13 @@ def _segment(docs: list, firsts: list[int], texts: list[np.ndarray], vocabulary:
     }
 
 
+def _numbering() -> defaultdict:
+    """Numbers of words; a new word takes the next one."""
+    ids: defaultdict = defaultdict()
+    ids.default_factory = ids.__len__
+    return ids
+
+
 def build_index(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """The stored index of all words: one row per segment with ``docs, firsts, lengths, terms, counts, rows, positions``.
 
@@ -52,8 +60,7 @@ def build_index(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     kind, most, overlap = docs.schema[doc_id].dataType, SEGMENT_WORDS, min(OVERLAP_WORDS, SEGMENT_WORDS // 2)
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids: dict[str, int] = {}
-        held, firsts, texts, size = [], [], [], 0
+        ids, held, firsts, texts, size = _numbering(), [], [], [], 0
         for batch in batches:
             for doc, t in zip(batch["doc"], batch["text"], strict=True):
                 ws = words(t)
@@ -61,12 +68,11 @@ def build_index(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                     piece = ws[first : first + most] if len(ws) > most else ws
                     held.append(doc)
                     firsts.append(first)
-                    # a new word takes the next number
-                    texts.append(np.array([ids.setdefault(w, len(ids)) for w in piece], np.int32))
+                    texts.append(np.fromiter(map(ids.__getitem__, piece), np.int32, len(piece)))
                     size += len(piece)
                     if size >= most:
                         yield pd.DataFrame([_segment(held, firsts, texts, list(ids))])
-                        ids, held, firsts, texts, size = {}, [], [], [], 0
+                        ids, held, firsts, texts, size = _numbering(), [], [], [], 0
                     if len(ws) <= most:
                         break
         if size:
@@ -126,13 +132,25 @@ def best_stretch(item: np.ndarray, doc: np.ndarray, shift: int, edits: int) -> t
     return best, spot
 
 
+def _run_around(item: np.ndarray, doc: np.ndarray, spot: int, shift: int, run: int) -> bool:
+    """Whether ``run`` words in a row, the one at ``spot`` among them, are equal on a diagonal."""
+    lo, hi = max(0, spot - run + 1, -shift), min(len(item), spot + run, len(doc) - shift)
+    if hi - lo < run or not lo <= spot < hi:
+        return False
+    same = (item[lo:hi] == doc[lo + shift : hi + shift]).tobytes()
+    left, right = same[: spot - lo + 1], same[spot - lo + 1 :]
+    back = len(left) - len(left.rstrip(b"\x01"))
+    return back > 0 and back + len(right) - len(right.lstrip(b"\x01")) >= run
+
+
 def _search(segment: dict, items: list[tuple], plans: dict, length: int, edits: int) -> list[tuple]:
     """Matches of one block of items in one segment: (document row, item number, words, spot, position)."""
+    run = -(-(length - edits) // (edits + 1))
     place = {t: i for i, t in enumerate(segment["terms"])}
     counts, rows, positions = (np.asarray(segment[k]).astype(np.int64) for k in ("counts", "rows", "positions"))
     ends = np.cumsum(counts)
     wide = np.int64(1) << 32
-    starts: dict[int, set] = {}
+    starts: dict[int, dict] = {}
 
     def shifted(word: str, spot: int) -> np.ndarray | None:
         i = place.get(word)
@@ -148,7 +166,8 @@ def _search(segment: dict, items: list[tuple], plans: dict, length: int, edits:
             continue
         for key in np.intersect1d(a, b, assume_unique=True):
             for number, spot in users:
-                starts.setdefault(int(key >> 32), set()).add((number, int(key & (wide - 1)) - (1 << 20) - spot))
+                diagonal = (number, int(key & (wide - 1)) - (1 << 20) - spot)
+                starts.setdefault(int(key >> 32), {}).setdefault(diagonal, []).append(spot)
     if not starts:
         return []
     # the documents concerned, written out again from their postings
@@ -159,13 +178,18 @@ def _search(segment: dict, items: list[tuple], plans: dict, length: int, edits:
     row, position = rows[kept], positions[kept]
     order = np.lexsort((position, row))
     term, row, position = term[order], row[order], position[order]
-    found = []
+    found, coded = [], {}
     for r, diagonals in starts.items():
         lo, hi = np.searchsorted(row, [r, r + 1])
         doc = np.full(int(segment["lengths"][r]), -1)
         doc[position[lo:hi]] = term[lo:hi]
-        for number, shift in diagonals:
-            item = np.array([place.get(w, -2) for w in items[number][1]])
+        for (number, shift), spots in diagonals.items():
+            if number not in coded:
+                coded[number] = np.array([place.get(w, -2) for w in items[number][1]])
+            item = coded[number]
+            # the run in which the two words were the rarest must be there
+            if not any(_run_around(item, doc, spot, shift, run) for spot in spots):
+                continue
             n, spot = best_stretch(item, doc, shift, edits)
             if n >= length:
                 found.append((r, number, n, spot, spot + shift))
