@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyfold.functions.scalars import BROAD_BANDS, RATE_BANDS, age, band, clip, edge_index, entity_id, first_positive, has_flag, rogan_gladen
+from tallyfold.operators import aggregates as agg
 from tallyfold.operators import deliveries, estimates, exposure, generators, joins, projection, rates, scoring, survey, tail, windows
 from tallyfold.plans.problems import EVENT, HOUSEHOLD, PERSON, VOIDS
 from tallyfold.plans.register_queries import _D, _E, _P, _Y, MONTHS, _band_sql, deaths, persons, register, yearly
@@ -24,8 +25,9 @@ def _first(spark, d, kinds, keep, ids, codes=()):
     return deliveries.not_withdrawn(first, deliveries.withdrawals(ledger, EVENT, VOIDS), EVENT)
 
 
-def residence_exposure(spark: SparkSession, d: str) -> DataFrame:
-    """Person-months by county, sex and attained band, births, deaths, formations and moves of the ledger counting from their month."""
+def residence(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """When each person lives, in which household, and in which county each household is: births, deaths, formations and moves
+    of the ledger count from their month."""
     opening = without_codes(load(spark, d, "person"), ids=[HOUSEHOLD], codes=["sex"]).where("is_alive")
     events = _first(spark, d, [1, 3], ["tick", "event_type", PERSON, HOUSEHOLD, "birth_tick", "sex"], [PERSON, HOUSEHOLD], ["sex"])
     born = events.where("event_type = 1").groupBy(PERSON).agg(F.min("tick").alias("s"), F.min("birth_tick").alias("birth"), F.min("sex").alias("sex"))
@@ -39,7 +41,21 @@ def residence_exposure(spark: SparkSession, d: str) -> DataFrame:
     )
     stays = exposure.spells(homes, PERSON, "tick", EVENT, HOUSEHOLD, MONTHS)
     places = exposure.spells(cells, HOUSEHOLD, "tick", EVENT, "county", MONTHS)
-    return exposure.residence_exposure(people, stays, places, PERSON, HOUSEHOLD, "county", MONTHS)
+    return people, stays, places
+
+
+def residence_exposure(spark: SparkSession, d: str) -> DataFrame:
+    """Person-months by county, sex and attained band."""
+    return exposure.residence_exposure(*residence(spark, d), PERSON, HOUSEHOLD, "county", MONTHS)
+
+
+def horizon_truth(spark, d):
+    """Persons living at the last month, by county, state and nation of residence then."""
+    people, stays, places = residence(spark, d)
+    at = lambda df: df.where((F.col("s") <= MONTHS) & (F.col("e") > MONTHS)).drop("s", "e")
+    there = at(people.where("sex is not null and birth is not null")).join(at(stays), PERSON).join(at(places), HOUSEHOLD)
+    there = there.join(F.broadcast(load(spark, d, "geography").select("county", "state")), "county")
+    return agg.rollup_levels(there, "state", "county", {"persons": F.count(F.lit(1)), "elders": F.count_if(F.lit(MONTHS) - F.col("birth") >= 780)})
 
 
 #: Ends come before deaths, deaths before what opens, closings last.
@@ -366,7 +382,7 @@ def split_releases(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    residence_exposure, month_sequence, broken_stays, emptied_households, due_discharges, residents_per_dwelling, shock_multipliers, birth_error, churn_fit, income_ratios, ratio_exponent, inclusion_shares,
+    residence_exposure, horizon_truth, month_sequence, broken_stays, emptied_households, due_discharges, residents_per_dwelling, shock_multipliers, birth_error, churn_fit, income_ratios, ratio_exponent, inclusion_shares,
     fertility_rates, tertiary_projection, rates_by_age, bands_from_ages, raked_paths, rate_additivity, rate_scores, level_gaps, rate_intervals, shrunk_rates, price_fit, leaked_share, control_separation,
     half_open_classes, right_closed_classes, clipped_balances, first_known_cells, replicated_lines, shifted_segments, county_shares, one_to_one_nations, corrected_prevalence, advanced_stock, width_errors,
     allocation_regret, numbered_customers, made_ids, broad_death_rates, csv_round_trip, json_round_trip, signed_tokens, split_releases,
@@ -387,11 +403,7 @@ def _shape_sql(values: dict[str, float]) -> str:
 
 _INCOMES = f"""{_P}, x AS (SELECT nullif(county, -1) AS county, avg(employment_income_cents) AS x, count(*) AS n FROM income WHERE nullif(county, -1) IS NOT NULL AND NOT isnan(employment_income_cents) GROUP BY 1),
 y AS (SELECT county, avg(income_cents) AS y, count(*) AS m FROM q WHERE county IS NOT NULL AND income_cents IS NOT NULL GROUP BY 1)"""
-_BROAD = "CASE WHEN band = '0-17' THEN '0-17' WHEN band IN ('18-44', '45-64') THEN '18-64' WHEN band IS NOT NULL THEN '65+' END"
-_FIT = """z AS (SELECT l_extendedprice::double AS y, l_quantity::double AS a, l_discount::double AS b, l_tax::double AS c, WEIGHT AS w FROM lineitem)"""
-
-ORACLES = {
-    "residence_exposure": f"""WITH {_P}, {_FIRSTS}, {_D.replace('first AS', 'first0 AS').replace('FROM first WHERE', 'FROM first0 WHERE').replace('void AS', 'void0 AS').replace('FROM void)', 'FROM void0)')},
+_RESIDENCE = f"""WITH {_P}, {_FIRSTS}, {_D.replace('first AS', 'first0 AS').replace('FROM first WHERE', 'FROM first0 WHERE').replace('void AS', 'void0 AS').replace('FROM void)', 'FROM void0)')},
 pe AS (SELECT truth_person_id, min(sex) AS sex, min(birth_tick) AS birth, min(s) AS s FROM (
   SELECT truth_person_id, sex, birth_tick, 0 AS s FROM p WHERE is_alive UNION ALL SELECT nullif(truth_person_id, 0), nullif(sex, -1), birth_tick, tick FROM l WHERE event_type = 1) GROUP BY 1),
 ho AS (SELECT truth_person_id, truth_household_id AS h, 0 AS tick, 0 AS id FROM p WHERE is_alive UNION ALL SELECT nullif(truth_person_id, 0), nullif(truth_household_id, 0), tick, truth_event_id FROM l WHERE event_type IN (1, 3)),
@@ -399,8 +411,16 @@ ce AS (SELECT truth_household_id AS h, floor(cell / 256)::bigint AS county, 0 AS
   UNION ALL SELECT nullif(truth_household_id, 0), floor(to_cell / 256)::bigint, tick, truth_event_id FROM l WHERE event_type IN (3, 4) AND nullif(to_cell, -1) IS NOT NULL),
 pm AS (SELECT pe.*, m FROM pe LEFT JOIN deaths USING (truth_person_id), range(1, 61) t(m) WHERE truth_person_id IS NOT NULL AND sex IS NOT NULL AND birth IS NOT NULL AND m >= s AND (died IS NULL OR m < died)),
 ph AS (SELECT pm.truth_person_id, sex, birth, m, arg_max(coalesce(h, -1), (tick, id)) AS h FROM pm JOIN ho ON ho.truth_person_id = pm.truth_person_id AND ho.tick <= m GROUP BY 1, 2, 3, 4),
-pc AS (SELECT sex, floor((m - birth) / 12)::bigint AS age, arg_max(county, (tick, id)) AS county FROM ph JOIN ce ON ce.h = ph.h AND ce.tick <= m WHERE ph.h >= 0 GROUP BY truth_person_id, sex, birth, m)
+pc AS (SELECT sex, floor((m - birth) / 12)::bigint AS age, arg_max(county, (tick, id)) AS county FROM ph JOIN ce ON ce.h = ph.h AND ce.tick <= m WHERE ph.h >= 0 GROUP BY truth_person_id, sex, birth, m)"""
+_BROAD = "CASE WHEN band = '0-17' THEN '0-17' WHEN band IN ('18-44', '45-64') THEN '18-64' WHEN band IS NOT NULL THEN '65+' END"
+_FIT = """z AS (SELECT l_extendedprice::double AS y, l_quantity::double AS a, l_discount::double AS b, l_tax::double AS c, WEIGHT AS w FROM lineitem)"""
+
+ORACLES = {
+    "residence_exposure": f"""{_RESIDENCE}
 SELECT county, sex, {_band_sql('age', RATE_BANDS)} AS band, count(*) AS months FROM pc WHERE age >= 0 GROUP BY ALL""",
+    "horizon_truth": f"""{_RESIDENCE}, z AS (SELECT county, birth, g.state FROM (SELECT ph.truth_person_id, ph.birth, arg_max(ce.county, (tick, id)) AS county FROM ph JOIN ce ON ce.h = ph.h AND ce.tick <= m WHERE m = 60 AND ph.h >= 0 GROUP BY 1, 2) x JOIN geography g USING (county))
+SELECT CASE WHEN grouping(state) = 1 THEN 'nation' WHEN grouping(county) = 1 THEN 'state' ELSE 'county' END AS level, CASE WHEN grouping(state) = 1 THEN 0 WHEN grouping(county) = 1 THEN state ELSE county END::bigint AS unit,
+  count(*) AS persons, count(*) FILTER (WHERE 60 - birth >= 780) AS elders FROM z GROUP BY GROUPING SETS ((), (state), (state, county))""",
     "month_sequence": f"""WITH e AS (SELECT truth_event_id, min(tick) AS tick, min(event_type) AS k FROM ledger WHERE truth_event_id IS NOT NULL GROUP BY 1)
 SELECT truth_event_id, row_number() OVER (PARTITION BY tick ORDER BY CASE k {' '.join(f'WHEN {k} THEN {p}' for k, p in IN_MONTH.items())} END, k, truth_event_id) AS seq FROM e""",
     "broken_stays": f"""WITH {_FIRSTS}, s AS (SELECT truth_encounter_id, event_type, lag(event_type) OVER (PARTITION BY truth_encounter_id ORDER BY tick, truth_event_id) AS b FROM l WHERE event_type IN (10, 11) AND nullif(truth_encounter_id, 0) IS NOT NULL)

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from tallyfold.functions.scalars import age, half_even
 from tallyfold.operators import aggregates as agg
 from tallyfold.operators import bitemporal as bt
-from tallyfold.operators import deliveries, generators, joins, matching, scoring, survey, windows
-from tallyfold.plans.estimate_queries import _FIRSTS, _first
+from tallyfold.operators import generators, joins, matching, scoring, survey, windows
+from tallyfold.plans.estimate_queries import _FIRSTS, _INCOMES, _first, _incomes
 from tallyfold.plans.ledger_queries import _spans
-from tallyfold.plans.problems import EVENT, HOUSEHOLD, JOB, PERSON, VOIDS
-from tallyfold.plans.register_queries import _D, _P, deaths, persons, register
+from tallyfold.plans.problems import EVENT, HOUSEHOLD, JOB, PERSON
+from tallyfold.plans.register_queries import _D, _P, _Y, deaths, persons, register, yearly
+from tallyfold.plans.table_queries import _G, grid
 from tallyfold.sources.tables import load, without_codes
 
 # a release from the population register
@@ -136,17 +137,65 @@ def widened_rows(spark, d):
     return core.unionByName(rate, allowMissingColumns=True)
 
 
+def county_covariates(spark, d):
+    """Counties by rank, from 0 to 1, of persons per land cell, of income per adult and of the share of elders."""
+    p = persons(spark, d).where("county is not null and is_alive")
+    n = p.groupBy("county").agg(F.count(F.lit(1)).alias("n"), (F.coalesce(F.sum("income_cents"), F.lit(0)) / F.greatest(F.count_if(F.col("age") >= 16), F.lit(1))).alias("income"), F.avg((F.col("age") >= 65).cast("int")).alias("elders"))
+    n = n.join(load(spark, d, "geography").select("county", "land_cells"), "county").where("land_cells > 0").withColumn("density", F.col("n") / F.col("land_cells"))
+    for c in ("density", "income", "elders"):
+        n = windows.rank_uniform(n, [], c, "county", f"{c}_rank")
+    return n.select("county", *[F.round(f"{c}_rank", 9).alias(f"{c}_rank") for c in ("density", "income", "elders")])
+
+
+def elder_survival(spark, d):
+    """Elders by state: how many there were, person-months lived to the end, and the share that lived to it."""
+    rows = persons(spark, d).where("is_alive and state is not null and age >= 65").join(deaths(spark, d), PERSON, "left")
+    lived = F.greatest(F.least(F.coalesce(F.col("died") - 1, F.lit(60)), F.lit(60)), F.lit(0))
+    return rows.groupBy("state").agg(F.count(F.lit(1)).alias("elders"), F.sum(lived).alias("months"), F.round(F.avg(F.when(F.col("died") <= 60, 0.0).otherwise(1.0)), 9).alias("survival"))
+
+
+def outpost_cells(spark, d):
+    """Cells of the grid in the top quartile of height."""
+    g = grid(spark, d)
+    return g.crossJoin(F.broadcast(g.agg(F.percentile("h", F.lit(0.75)).alias("line")))).where("h >= line").select("cell")
+
+
+def average_regime(spark, d):
+    """Death rates by sex and band, averaged over the years with each year alike."""
+    y = yearly(spark, d).where("months > 0").withColumn("rate", F.col("deaths") / F.col("months"))
+    return y.groupBy("sex", "band").agg(F.round(F.avg("rate"), 10).alias("rate"), F.count(F.lit(1)).alias("years"))
+
+
+def relative_rows(spark, d):
+    """Release rows with half-widths of a tenth of the estimate."""
+    r = design_based_release(spark, d).select("level", "unit", "estimate")
+    return r.withColumns({"low": F.round(F.col("estimate") * 0.9, 5), "high": F.round(F.col("estimate") * 1.1, 5)})
+
+
+def calibrated_incomes(spark, d):
+    """County means of the register brought to the scale of the population by the line that fits the counties best."""
+    a, b = _incomes(spark, d)
+    both = a.select("county", F.col("mean").alias("x"), "n").join(b.select("county", F.col("mean").alias("y")), "county")
+    line = agg.weighted_line(both, [], F.col("x"), F.col("y"), F.col("n"))
+    return both.crossJoin(F.broadcast(line)).select("county", F.round(F.col("intercept") + F.col("slope") * F.col("x"), 2).alias("calibrated"))
+
+
 QUERIES = {f.__name__: f for f in (
     design_based_release, release_checked, month_closings, leaving_home, month_hires, stay_lengths, open_entities, replay_disagreements, urbanity, oldest_members, register_shortfall, widened_rows,
+    county_covariates, elder_survival, outpost_cells, average_regime, relative_rows, calibrated_incomes,
 )}
 
-ORACLES = {
-    "design_based_release": f"""WITH {_P}, o AS (SELECT nullif(county, -1) AS county FROM (SELECT *, row_number() OVER (PARTITION BY person_id ORDER BY record_id) AS k FROM population WHERE nullif(person_id, 0) IS NOT NULL AND nullif(county, -1) IS NOT NULL) WHERE k = 1),
+_RELEASE = f"""WITH {_P}, o AS (SELECT nullif(county, -1) AS county FROM (SELECT *, row_number() OVER (PARTITION BY person_id ORDER BY record_id) AS k FROM population WHERE nullif(person_id, 0) IS NOT NULL AND nullif(county, -1) IS NOT NULL) WHERE k = 1),
 c AS (SELECT county, count(*)::double AS n FROM o GROUP BY 1), u AS (SELECT county, n, greatest((n - 0.05 / 63 * sum(n) OVER ()) / (1 - 0.05 - 0.05 / 63), 0)::double AS u FROM c),
 t AS (SELECT state, round_even(count(*) / 10.0::double, 0) * 10 AS t FROM q WHERE is_alive AND state IS NOT NULL GROUP BY 1),
 r AS (SELECT u.county, g.state, n, u + coalesce(t - sum(u) OVER (PARTITION BY g.state), 0) * n / sum(n) OVER (PARTITION BY g.state) AS v FROM u JOIN geography g USING (county) LEFT JOIN t ON t.state = g.state),
-x AS (SELECT CASE WHEN grouping(state) = 1 THEN 'nation' WHEN grouping(county) = 1 THEN 'state' ELSE 'county' END AS level, CASE WHEN grouping(state) = 1 THEN 0 WHEN grouping(county) = 1 THEN state ELSE county END::bigint AS unit, sum(v) AS e, sum(n) AS n FROM r GROUP BY GROUPING SETS ((), (state), (state, county)))
+x AS (SELECT CASE WHEN grouping(state) = 1 THEN 'nation' WHEN grouping(county) = 1 THEN 'state' ELSE 'county' END AS level, CASE WHEN grouping(state) = 1 THEN 0 WHEN grouping(county) = 1 THEN state ELSE county END::bigint AS unit, sum(v) AS e, sum(n) AS n FROM r GROUP BY GROUPING SETS ((), (state), (state, county)))"""
+
+ORACLES = {
+    "design_based_release": f"""{_RELEASE}
 SELECT level, unit, round(e, 6) AS estimate, round(e - 1.645 * sqrt(n), 6) AS low, round(e + 1.645 * sqrt(n), 6) AS high FROM x""",
+    "relative_rows": f"""{_RELEASE}
+SELECT level, unit, round(e, 6) AS estimate, round(round(e, 6) * 0.9, 5) AS low, round(round(e, 6) * 1.1, 5) AS high FROM x""",
     "release_checked": "SELECT * FROM (VALUES ('not additive', 0::bigint), ('estimate outside', 0::bigint)) v(rule, n)",
     "stay_lengths": "SELECT greatest(1, ceil((scheduled_end_tick - tick) * 17 / 30.0))::int AS months, count(DISTINCT truth_event_id) AS stays FROM ledger WHERE event_type = 10 AND nullif(scheduled_end_tick, 0) >= tick GROUP BY 1",
     "open_entities": f"""WITH {_FIRSTS}, {_D.replace('first AS', 'first0 AS').replace('FROM first WHERE', 'FROM first0 WHERE').replace('void AS', 'void0 AS').replace('FROM void)', 'FROM void0)')},
@@ -163,4 +212,12 @@ UNION ALL SELECT 'persons', count(*) FROM a WHERE truth_person_id NOT IN (SELECT
     "register_shortfall": f"""WITH {_P}, s AS (SELECT g.state, count(DISTINCT person_id) AS s FROM population p JOIN geography g ON g.county = nullif(p.county, -1) WHERE nullif(person_id, 0) IS NOT NULL AND g.state IS NOT NULL GROUP BY 1), t AS (SELECT state, count(*) AS t FROM q WHERE is_alive AND state IS NOT NULL GROUP BY 1)
 SELECT state, round((1 - coalesce(s, 0) / t)::double, 9) AS shortfall FROM t LEFT JOIN s USING (state)""",
     "widened_rows": f"WITH {_P} SELECT county, NULL::tinyint AS sex, count(*) AS n FROM q WHERE county IS NOT NULL GROUP BY 1 UNION ALL SELECT county, sex, count(*) FROM q WHERE county IS NOT NULL AND sex IS NOT NULL GROUP BY 1, 2",
+    "county_covariates": f"""WITH {_P}, n AS (SELECT county, count(*) / max(land_cells)::double AS d, coalesce(sum(income_cents), 0) / greatest(count(*) FILTER (WHERE age >= 16), 1)::double AS i, avg((age >= 65)::int) AS e FROM q JOIN geography g USING (county) WHERE is_alive AND land_cells > 0 GROUP BY 1)
+SELECT county, {", ".join(f"round(CASE WHEN min({c}) OVER () = max({c}) OVER () THEN 0.5 ELSE (row_number() OVER (ORDER BY {c}, county) - 1) / (count(*) OVER () - 1)::double END, 9) AS {n}_rank" for c, n in (("d", "density"), ("i", "income"), ("e", "elders")))} FROM n""",
+    "elder_survival": f"""WITH {_P}, {_D} SELECT state, count(*) AS elders, sum(greatest(least(coalesce(died - 1, 60), 60), 0))::bigint AS months, round(avg(CASE WHEN died <= 60 THEN 0.0 ELSE 1.0 END)::double, 9) AS survival
+FROM q LEFT JOIN deaths USING (truth_person_id) WHERE is_alive AND state IS NOT NULL AND age >= 65 GROUP BY 1""",
+    "outpost_cells": f"WITH {_G} SELECT cell FROM g WHERE h >= (SELECT quantile_cont(h, 0.75) FROM g)",
+    "average_regime": f"WITH {_P}, {_D}, {_Y} SELECT sex, band, round(avg(deaths / months), 10) AS rate, count(*) AS years FROM y WHERE months > 0 GROUP BY 1, 2",
+    "calibrated_incomes": f"""WITH {_INCOMES}, j AS (SELECT county, x, y, n::double AS n FROM x JOIN y USING (county)), s AS (SELECT sum(n) AS w, sum(n * x) AS wx, sum(n * y) AS wy, sum(n * x * x) AS wxx, sum(n * x * y) AS wxy FROM j),
+l AS (SELECT (w * wxy - wx * wy) / (w * wxx - wx * wx) AS b, w, wx, wy FROM s) SELECT county, round((wy - b * wx) / w + b * x, 2) AS calibrated FROM j, l""",
 }

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyfold.functions import scalars
-from tallyfold.operators import aggregates, bitemporal, generators, joins, matching, projection, raster, scoring, survey, tail, windows
+from tallyfold.operators import aggregates, bitemporal, exposure, generators, joins, matching, projection, raster, scoring, survey, tail, windows
 from tallyfold.sources import files
 from tallyfold.sources.tables import known, without_codes
 from tallyfold.streaming import late_counts
@@ -329,3 +329,46 @@ def test_stream_corrects_late_events(spark, tmp_path):
     out = late_counts.run_once(late_counts.multiset_versions(stream, "key", "period", "arrival", "value", "event_id", 3), "versions", "update", str(tmp_path / "cp"))
     got = sorted(((r["key"], r["period"], r["arrival"] - r["period"], r["n"], r["n_distinct"], r["min_value"], r["max_value"], r["median_value"]) for r in out.collect()), key=repr)
     assert got == sorted([(v[0], v[1], v[2], *v[4:]) for v in brute_versions([e[:4] for e in events], 3)], key=repr)
+
+
+def test_residence_exposure_month_by_month(spark):
+    """Against counting every month: births, deaths, moves between households and of households, unknown sexes and places."""
+    r = np.random.default_rng(8)
+    people = [(i, [0, 1, None][r.integers(0, 3)], int(r.integers(-1200, 20)), int(s := r.integers(0, 20)), int(s + r.integers(0, 50))) for i in range(40)] + [(None, 1, 0, 0, 60)]
+    homes = [(int(r.integers(0, 40)), int(r.integers(0, 40)), int(k), [None, *range(12)][r.integers(0, 13)]) for k in range(120)]
+    cells = [(int(r.integers(0, 12)), int(r.integers(0, 40)), int(k), [None, *range(4)][r.integers(0, 5)]) for k in range(60)]
+    stays = exposure.spells(spark.createDataFrame(homes, "p bigint, at bigint, o bigint, h bigint"), "p", "at", "o", "h", 40)
+    places = exposure.spells(spark.createDataFrame(cells, "h bigint, at bigint, o bigint, unit bigint"), "h", "at", "o", "unit", 40)
+    df = spark.createDataFrame(people, "p bigint, sex int, birth bigint, s bigint, e bigint").withColumn("months", F.lit("clash"))
+    got = {(x["unit"], x["sex"], x["band"]): x["months"] for x in exposure.residence_exposure(df, stays, places, "p", "h", "unit", 40).collect()}
+
+    def now(changes, who, month):
+        seen = [(at, o, v) for w, at, o, v in changes if w == who and at <= month]
+        return max(seen, key=lambda x: x[:2])[2] if seen else None
+
+    expected = {}
+    for p, sex, birth, s, e in people:
+        for m in range(max(s, 1), min(e, 41)):
+            unit = now(cells, now(homes, p, m), m) if p is not None and sex is not None else None
+            band = next((b for b, lo, hi in scalars.RATE_BANDS if lo <= (m - birth) // 12 <= hi), None)
+            if unit is not None and band is not None:
+                expected[unit, sex, band] = expected.get((unit, sex, band), 0) + 1
+    assert got == expected and len(got) > 10
+    assert exposure.residence_exposure(df.limit(0), stays, places, "p", "h", "unit", 40).count() == 0
+
+
+def test_months_are_sequenced_and_transitions_checked(spark):
+    df = spark.createDataFrame([(9, 1, 6), (8, 1, 7), (7, 1, 5), (1, 2, 6), (2, 2, None)], "id bigint, tick bigint, kind int")
+    assert rows(exposure.in_month_order(df, "kind", {7: 0, 6: 1, 5: 2}, "tick", "id"), "id", "seq") == [(1, 1), (2, 2), (7, 3), (8, 1), (9, 2)]
+    e = spark.createDataFrame([("a", 1, "o"), ("a", 2, "c"), ("b", 1, "c"), ("c", 1, "o"), ("c", 2, "o"), (None, 1, "c")], "k string, t bigint, what string")
+    assert rows(exposure.broken_transitions(e, "k", ["t"], F.col("what") == "o", F.col("what") == "c"), "k", "opened_twice", "closed_unopened") == [("b", 0, 1), ("c", 1, 0)]
+
+
+def test_heaping_of_few_and_of_none(spark):
+    few = spark.createDataFrame([("x", a, 3) for a in range(0, 111, 5)], "g string, age bigint, n bigint")
+    assert rows(survey.heaping(few, ["g"], "age", "n"), "excess") == [(0.0,)]
+    even = spark.createDataFrame([("x", a, 10) for a in range(111)], "g string, age bigint, n bigint")
+    assert abs(survey.heaping(even, ["g"], "age", "n").first()["excess"]) < 1e-12
+    heaped = spark.createDataFrame([("x", a, 30 if a % 5 == 0 else 5) for a in range(111)], "g string, age bigint, n bigint")
+    out = survey.deheap(heaped, ["g"], "age", "n")
+    assert abs(out.agg(F.sum("smoothed")).first()[0] - out.agg(F.sum("n")).first()[0]) < 1e-9 and survey.heaping(heaped.limit(0), ["g"], "age", "n").count() == 0
