@@ -1,6 +1,7 @@
 """Every registered core query beside its SQL on the smallest dataset; those without SQL have their expectations in test_expectations."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallyfold.plans import catalogue
 
@@ -17,6 +18,16 @@ def test_matches_sql(spark, name):
     assert rows == expected
 
 
+def test_p3_found_beyond_gaps(spark, tmp_path):
+    """Numbers that never came hold nothing: the ledger twice, the second time under other ids, and without some of its events."""
+    ledger = spark.read.parquet(f"{FOLDER}/ledger.parquet")
+    ids = [c for c in ledger.columns if c.startswith("truth_") or c == "supersedes_event_id"]
+    again = ledger.withColumns({c: F.when(F.col(c) != 0, F.col(c) + 2**32) for c in ids})
+    ledger.unionByName(again).where(F.col("truth_event_id") % 50 != 7).write.parquet(f"{tmp_path}/ledger.parquet")
+    _, rows = spark_rows(catalogue.QUERIES["p3_found"](spark, str(tmp_path)))
+    _, expected = oracle_rows(str(tmp_path), catalogue.ORACLES["p3_found"])
+    assert len(rows) > 100
+    assert rows == expected
 
 
 def test_contract():
