@@ -1,8 +1,11 @@
 """Operators for training data against brute force, planted truth and exact accounts."""
 
 import random
+from urllib.parse import urlparse
 
 import numpy as np
+import pandas as pd
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,6 +14,7 @@ from tallyfold.llm import boosting, leakage, linkage, mixing, quality, queries
 
 from .held_out_passages import HELD_OUT
 from tallyfold.llm.words import words
+from tallyfold.session import settings
 
 from ..harness import oracle_rows, spark_rows
 
@@ -232,6 +236,18 @@ def test_long_documents_are_searched_whole(spark, monkeypatch):
     assert {r["doc"] for r in got} == set(at)
 
 
+def test_segments_are_held_one_at_a_time(spark, monkeypatch):
+    """A row group of its own for each segment, and one segment a batch, however many stand in a file."""
+    monkeypatch.setattr(leakage, "SEGMENT_WORDS", 100)
+    dd = spark.createDataFrame([(i, " ".join(f"w{(7 * i + j) % 50}" for j in range(40))) for i in range(60)], "doc_id long, text string")
+    index = leakage.build_index(dd.coalesce(1), "doc_id", "text")
+    groups = [pq.ParquetFile(urlparse(f).path).metadata for f in index.inputFiles()]
+    assert [m.row_group(i).num_rows for m in groups for i in range(m.num_row_groups)] == [1] * 20
+    with settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": str(leakage.BATCH_SEGMENTS)}):
+        sizes = index.coalesce(1).mapInPandas(lambda batches: (pd.DataFrame({"n": [len(b)]}) for b in batches), "n long").collect()
+    assert [r["n"] for r in sizes] == [1] * 20
+
+
 def test_words_ignore_dress():
     plain = words("Clerk of Marmovik holds 63.1 cards and two, of band 85+")
     assert plain == ["clerk", "of", "marmovik", "holds", "631", "cards", "and", "two", "of", "band", "85"]
