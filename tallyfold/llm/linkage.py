@@ -20,8 +20,8 @@ from tallyfold.session import stored
 
 #: Names that at least this share of records bear are common, or fairly common; 1 / the smallest bounds their number.
 COMMON, FAIRLY_COMMON = 0.01, 0.001
-#: Household members up to which one agreement (a name, a birth) suffices for members of tied households to be compared; in
-#: larger ones two are needed. What a tie of larger households says is learned apart.
+#: Household members up to which all members of tied households are paired before the pairs are chosen; in larger ones they
+#: are joined on what they agree on. What a tie of larger households says is learned apart.
 CLOSE_HOME = 20
 #: Records of one blocking key beyond which its join is split, each part meeting all records of the other side.
 HOT_KEY = 2_000
@@ -290,9 +290,9 @@ def _sized(rows: DataFrame) -> DataFrame:
 
 
 def _within_large(ties: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
-    """Members of tied households of which one is large, ``h_a, h_b, size_a, size_b``, who agree on two of given name, family name and birth.
+    """Members of tied households of which one is large, ``h_a, h_b, size_a, size_b``, who agree on birth, on given name, or on family name with births within a year.
 
-    Family name with a birth within a year, given name with the exact birth, or both names; each pair of records once. The
+    The same pairs as in small households, found by joins on what agrees; each pair of records once. The
     smaller household of a tie is spread over its ties, so a large one tied to many others is not.
     """
     a, b = (x.where(F.col("h").isNotNull()).withColumn("home", F.col("h")) for x in (a, b))
@@ -301,7 +301,7 @@ def _within_large(ties: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
     year, out = F.floor(F.col("b") / YEAR), []
 
     def keyed(x: DataFrame, neighbours: bool) -> DataFrame:
-        keys = [(1, ("f",), year + d) for d in ((-1, 0, 1) if neighbours else (0,))] + [(2, ("g",), F.col("b")), (3, ("g", "f"), F.lit(0))]
+        keys = [(1, ("f",), year + d) for d in ((-1, 0, 1) if neighbours else (0,))] + [(2, (), F.col("b")), (3, ("g",), F.lit(0))]
         each = [F.struct(F.lit(k).alias("kind"), F.when(F.concat(*[F.col(c).cast("string") for c in names], at.cast("string")).isNotNull(), F.xxhash64(*names, at)).alias("key")) for k, names, at in keys]
         return x.withColumn("z", F.explode(F.array(*each))).withColumns({"kind": F.col("z.kind"), "key": F.col("z.key")}).where(F.col("key").isNotNull()).drop("z")
 
@@ -312,7 +312,7 @@ def _within_large(ties: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
         pairs = l.join(r, ["to", "kind", "key"])
         given, family = (F.coalesce(F.col(f"a.{c}") == F.col(f"b.{c}"), F.lit(False)) for c in ("g", "f"))
         apart = F.abs(F.col("a.b") - F.col("b.b"))
-        first = F.when(F.col("kind") == 1, family & (apart <= YEAR)).when(F.col("kind") == 2, given & ~family).otherwise(given & family & (F.coalesce(apart, F.lit(YEAR + 1)) > YEAR))
+        first = F.when(F.col("kind") == 1, family & ~given & (apart > 0) & (apart <= YEAR)).when(F.col("kind") == 2, apart == 0).otherwise(given & (F.coalesce(apart, F.lit(1)) > 0))
         out.append(_votes(pairs.where(first)).where(_unblocked()))
     return out[0].unionByName(out[1])
 
@@ -345,9 +345,8 @@ def link(a: DataFrame, b: DataFrame) -> DataFrame:
     Confidence is the posterior of the pair's best pair of descriptions. An id may be in several pairs (ids are split
     and merged). Missing values abstain; repeated rows count once; an empty side gives no pairs. Every pair of records
     that shares a block is compared, without a cap; after the first fit, members of linked households that share a
-    birth, a given name, or a family name with births within a year are compared as well
-    (those of a household over ``CLOSE_HOME`` if they agree on two of given name, family name and birth). What ties of
-    households and better rivals say is learned too, by size of household and for both together, since they depend on
+    birth, a given name, or a family name with births within a year are compared as well, whatever the size of the
+    households. What ties of households and better rivals say is learned too, by size of household and for both together, since they depend on
     each other. Only counts per combination of votes and frequencies of at most a few categories reach the driver.
     """
     classes = {c: _name_classes(a, b, c) for c in ("g", "f")}

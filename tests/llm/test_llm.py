@@ -120,6 +120,19 @@ def test_members_of_large_households_are_compared_and_say_nothing_of_kin(spark):
     assert all(r["h"] == 90_000 and r["size"] == 40 for r in sized)
 
 
+@pytest.mark.parametrize("kind", ["given", "birth", "family"])
+def test_members_of_large_households_need_one_agreement_as_in_small_ones(spark, kind):
+    """Two institutions of 40; every second member agrees on the given name, the birth, or the family name with a birth near, and on nothing else."""
+    a, b = world(600)
+    a += [(1_900_000 + i, 300 + i, 5000 + i, -300 - i, 1, 3, 90_000) for i in range(40)]
+    half = {"given": lambda i: (300 + i, 7000 + i, -900 - 20 * i), "birth": lambda i: (8000 + i, 7000 + i, -300 - i), "family": lambda i: (8000 + i, 5000 + i, -305 - i)}[kind]
+    b += [(2_900_000 + i, *((300 + i, 5000 + i, -300 - i) if i % 2 else half(i)), 1, 3 if i % 2 else 4, 95_000) for i in range(40)]
+    records = lambda d: linkage.records(spark.createDataFrame(d, SCHEMA), "id", "g", "f", "b", "s", "c", "h")
+    rows = linkage.link(records(a), records(b)).select("id_a", "id_b").collect()
+    assert len({tuple(r) for r in rows}) == len(rows)
+    assert {(1_900_000 + i, 2_900_000 + i) for i in range(40)} <= {tuple(r) for r in rows}
+
+
 def test_hot_keys_are_split_without_losing_or_repeating_pairs(spark, monkeypatch):
     """A third of all records under one key: the same candidates, split or not."""
     a, b = world(300)
