@@ -11,18 +11,21 @@ from __future__ import annotations
 
 import itertools
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.session import stored
+from tallyfold.session import forget, stored
 
 #: Names that at least this share of records bear are common, or fairly common; 1 / the smallest bounds their number.
 COMMON, FAIRLY_COMMON = 0.01, 0.001
 #: Household members up to which all members of tied households are paired before the pairs are chosen; in larger ones they
 #: are joined on what they agree on. What a tie of larger households says is learned apart.
 CLOSE_HOME = 20
+#: Kinds of blocks that are joined at a time.
+BLOCKS = ((1,), (2, 3), (4,), (5,), (6,))
 #: Records of one blocking key beyond which its join is split, each part meeting all records of the other side.
 HOT_KEY = 2_000
 #: Largest table of votes that are learned together, in cells; it keeps every table well filled.
@@ -56,7 +59,7 @@ def _kept(df: DataFrame, label: str) -> DataFrame:
     before = conf.get(clean)
     conf.set(clean, "true")
     try:
-        return stored(df, label)
+        return stored(df, label, {"compression": "zstd"})
     finally:
         conf.set(clean, before)
 
@@ -112,16 +115,17 @@ def _votes(pairs: DataFrame) -> DataFrame:
     )
 
 
-def _blocks(rows: DataFrame, neighbours: bool) -> DataFrame:
+def _blocks(rows: DataFrame, neighbours: bool, kinds: tuple[int, ...]) -> DataFrame:
     """Each record under its blocking keys: 1 both names and the year of birth, 2 family name and birth, 3 given name, birth and county,
     4 family name, county, sex and the year of birth, 5 given name, county, sex and the year of birth, 6 both names exchanged and the year of birth.
 
-    The side with ``neighbours`` stands under the years before and after as well, and has its names exchanged in the last."""
+    The side with ``neighbours`` stands under the years before and after as well, and has its names exchanged in the last. Only
+    keys of ``kinds`` are made."""
     year = F.floor(F.col("b") / YEAR)
     by_year = ((1, ("g", "f")), (4, ("f", "c", "s")), (5, ("g", "c", "s")), (6, ("f", "g") if neighbours else ("g", "f")))
     keys = [(k, year + d) for k in by_year for d in ((-1, 0, 1) if neighbours else (0,))] + [((2, ("f",)), F.col("b")), ((3, ("g", "c")), F.col("b"))]
     # a key with a missing part is NULL and joins nothing
-    each = [F.struct(F.lit(kind).alias("kind"), F.when(F.concat(*[F.col(c).cast("string") for c in names], at.cast("string")).isNotNull(), F.xxhash64(*names, at)).alias("key")) for (kind, names), at in keys]
+    each = [F.struct(F.lit(kind).alias("kind"), F.when(F.concat(*[F.col(c).cast("string") for c in names], at.cast("string")).isNotNull(), F.xxhash64(*names, at)).alias("key")) for (kind, names), at in keys if kind in kinds]
     return rows.withColumn("z", F.explode(F.array(*each))).withColumns({"kind": F.col("z.kind"), "key": F.col("z.key")}).where(F.col("key").isNotNull()).drop("z")
 
 
@@ -136,9 +140,9 @@ def _split_hot(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
     return a.withColumn("part", whole).drop("parts"), b.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
 
 
-def _candidates(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Every pair of records that shares a block, once: a pair is left to the first kind of block that it shares."""
-    a, b = _split_hot(_blocks(a, True), _blocks(b, False))
+def _candidates(a: DataFrame, b: DataFrame, kinds: tuple[int, ...] = (1, 2, 3, 4, 5, 6)) -> DataFrame:
+    """Every pair of records that shares a block of ``kinds``, once: a pair is left to the first kind of block that it shares."""
+    a, b = _split_hot(_blocks(a, True, kinds), _blocks(b.drop("g_kind", "f_kind"), False, kinds))
     pairs = a.alias("a").join(b.alias("b"), ["kind", "key", "part"])
     same = lambda c: F.coalesce(F.col(f"a.{c}") == F.col(f"b.{c}"), F.lit(False))
     apart = F.abs(F.col("a.b") - F.col("b.b"))
@@ -317,6 +321,12 @@ def _within_large(ties: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
     return out[0].unionByName(out[1])
 
 
+def _numbered(rows: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with the values of a column replaced by small numbers, and the stored numbers, ``v, n``."""
+    numbers = _kept(rows.select(F.col(column).alias("v")).where(F.col("v").isNotNull()).distinct().withColumn("n", F.monotonically_increasing_id()), f"numbers-{column}")
+    return rows.withColumnRenamed(column, "v").join(numbers, "v", "left").drop("v").withColumnRenamed("n", column), numbers
+
+
 def _later(counts: list[tuple[float, int, int]], kinds: int, unknown: list[int], rounds: int = 50) -> np.ndarray:
     """Log likelihood ratio of each category of a later vote, by EM from ``(log odds so far, category, number)``.
 
@@ -351,9 +361,13 @@ def link(a: DataFrame, b: DataFrame) -> DataFrame:
     """
     classes = {c: _name_classes(a, b, c) for c in ("g", "f")}
     classes = {c: _kept(k, f"names-{c}") for c, k in classes.items()}
+    # what every candidate carries is kept small: ids and households are tokens that do not compress
+    (a, ids_a), (b, ids_b) = (_numbered(_numbered(x, "h")[0], "id") for x in (a, b))
     a, b = (_kept(_sized(_with_kind(_with_kind(x, classes["g"], "g"), classes["f"], "f")), "records") for x in (a, b))
     pairs, chance = _chance(a, b, classes)
-    content = _kept(_votes(_candidates(a, b)), "votes")
+    # one kind of block after the other, so that the shuffle of one is gone before the next
+    parts = [_kept(_votes(_candidates(a, b, kinds)), "votes") for kinds in BLOCKS]
+    content = reduce(DataFrame.unionByName, parts)
     counts = {tuple(r[v] for v in VOTES): r["n"] for r in content.groupBy(*VOTES).agg(F.count(F.lit(1)).alias("n")).collect()}
     model = fit(counts, pairs, chance)
 
@@ -378,17 +392,23 @@ def link(a: DataFrame, b: DataFrame) -> DataFrame:
     unknown = F.col("h_a").isNull() | F.col("h_b").isNull()
     mate = F.when(unknown, 2).otherwise(F.when(F.col("n_a").isNotNull() & other, 1).otherwise(0) + F.when(F.col("many"), 3).otherwise(0))
     voted = _kept(every.join(ties.drop("size_a", "size_b"), ["h_a", "h_b"], "left").select("id_a", "id_b", "odds", mate.alias("mates")), "voted")
+    for part in parts:
+        forget(part)
     count = F.count(F.lit(1)).alias("n")
     tie = _later([tuple(r) for r in voted.groupBy(F.round("odds", 1).alias("odds"), "mates").agg(count).collect()], len(MATES), [2])
     # one row per pair of ids: its best description, by content and by what its tie says
     scored = voted.withColumn("score", F.col("odds") + _ratio(tie, F.col("mates")))
     best = scored.groupBy("id_a", "id_b").agg(F.max("score").alias("score"), F.max_by("mates", F.col("score") + F.col("mates") * 1e-9).alias("mates"))
     best = _kept(best.withColumn("odds", F.col("score") - _ratio(tie, F.col("mates"))), "pairs")
+    forget(voted)
     top_a = best.groupBy("id_a").agg(F.max("score").alias("top_a"))
     top_b = best.groupBy("id_b").agg(F.max("score").alias("top_b"))
     behind = F.greatest("top_a", "top_b") - F.col("score")
     rated = best.join(top_a, "id_a").join(top_b, "id_b").withColumn("rival", F.when(behind <= 0, 0).when(behind <= 3, 1).otherwise(2))
     rated = _kept(rated.select("id_a", "id_b", "odds", (F.col("mates") * len(RIVAL) + F.col("rival")).alias("later")), "rated")
+    forget(best)
     both = _later([tuple(r) for r in rated.groupBy(F.round("odds", 1).alias("odds"), "later").agg(count).collect()], len(MATES) * len(RIVAL), [])
     z = F.col("odds") + _ratio(both, F.col("later"))
-    return rated.select("id_a", "id_b", (1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(500.0)), F.lit(-500.0))))).alias("confidence"))
+    out = rated.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), (1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(500.0)), F.lit(-500.0))))).alias("confidence"))
+    out = out.join(ids_a.select(F.col("n").alias("a"), F.col("v").alias("id_a")), "a").join(ids_b.select(F.col("n").alias("b"), F.col("v").alias("id_b")), "b")
+    return out.select("id_a", "id_b", "confidence")

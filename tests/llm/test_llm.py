@@ -1,6 +1,7 @@
 """Operators for training data against brute force, planted truth and exact accounts."""
 
 import random
+from pathlib import Path
 from urllib.parse import urlparse
 
 import numpy as np
@@ -14,7 +15,7 @@ from tallyfold.llm import boosting, leakage, linkage, mixing, quality, queries
 
 from .held_out_passages import HELD_OUT
 from tallyfold.llm.words import words
-from tallyfold.session import settings
+from tallyfold.session import checkpoint_dir, settings
 
 from ..harness import oracle_rows, spark_rows
 
@@ -133,6 +134,17 @@ def test_members_of_large_households_need_one_agreement_as_in_small_ones(spark,
     assert {(1_900_000 + i, 2_900_000 + i) for i in range(40)} <= {tuple(r) for r in rows}
 
 
+def test_linkage_leaves_no_intermediate_tables(spark):
+    """Votes, votes with ties, and pairs are deleted once the next table is stored; the result can still be read, twice."""
+    folder = Path(urlparse(checkpoint_dir(spark)).path)
+    before = set(folder.iterdir())
+    a, b = (linkage.records(spark.createDataFrame(d, SCHEMA), "id", "g", "f", "b", "s", "c", "h") for d in world(200))
+    out = linkage.link(a, b)
+    assert out.count() == out.count() > 0
+    left = {p.name.rsplit("-", 1)[0] for p in set(folder.iterdir()) - before}
+    assert "rated" in left and not left & {"votes", "voted", "pairs"}
+
+
 def test_hot_keys_are_split_without_losing_or_repeating_pairs(spark, monkeypatch):
     """A third of all records under one key: the same candidates, split or not."""
     a, b = world(300)
