@@ -1,11 +1,17 @@
-"""Gradient-boosted trees over a bounded table of numbers, fitted in one task and sent as small arrays."""
+"""Gradient-boosted trees over binned numbers, from exact sums that can be taken of any pieces of the rows in any order."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 
+#: Bins of a feature; groups of rows that are dealt to the rounds; of these groups, how many a round sees of a small table.
+BINS, STRATA, MOST_STRATA = 64, 20, 7
+#: Sums are taken of whole multiples of one part in this many, so that they do not depend on the order of the rows.
+UNIT = 2.0**30
+
 
 @dataclass
 class Trees:
@@ -29,49 +35,129 @@ class Trees:
         return total
 
 
-def boost(x: np.ndarray, y: np.ndarray, w: np.ndarray, rounds: int, depth: int, rate: float = 0.2, bins: int = 64, rows: float = 0.35, columns: float = 0.4, pull: float = 5.0, seed: int = 1) -> Trees:
-    """Newton boosting of the logistic loss on binned features; every round sees a share of the rows and of the columns.
+@dataclass
+class Grown:
+    """Trees on bins: ``feature`` and ``cut`` of the inner nodes (bins above the cut go right), ``value`` of the leaves."""
+
+    feature: np.ndarray
+    cut: np.ndarray
+    value: np.ndarray
+    base: float
+
+    def advance(self, binned: np.ndarray, score: np.ndarray, first: int, last: int) -> np.ndarray:
+        """Add what the trees from ``first`` up to ``last`` say; ``binned`` has one row per feature."""
+        n, inner = binned.shape[1], self.feature.shape[1]
+        flat, rows = binned.ravel(), np.arange(n, dtype=np.intp)
+        for r in range(first, last):
+            at, place = np.zeros(n, np.intp), self.feature[r] * n
+            while at.size and at[0] < inner:
+                at = 2 * at + 1 + (flat[place[at] + rows] > self.cut[r][at])
+            score = score + self.value[r][at - inner]
+        return score
+
+    def trees(self, thresholds: list[np.ndarray]) -> Trees:
+        """The same trees on numbers; ``thresholds`` has, per feature, the number that each cut stands for."""
+        out = np.full(self.cut.shape, np.inf, np.float32)
+        for at in zip(*np.nonzero(self.cut < BINS), strict=True):
+            out[at] = thresholds[self.feature[at]][self.cut[at]]
+        return Trees(self.feature, out, self.value, self.base)
+
+
+def dealt(r: int, few: int) -> list[int]:
+    """The groups of rows that a round sees: ``few`` in turn, so that all are seen equally often after every ``STRATA`` rounds."""
+    return [(few * r + i) % STRATA for i in range(few)]
+
+
+def slopes(score: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and second derivatives of the logistic loss in whole units."""
+    p = 1 / (1 + np.exp(-score))
+    return np.rint(w * (y - p) * UNIT), np.rint(w * p * (1 - p) * UNIT)
+
+
+def sums(seen: np.ndarray, g: np.ndarray, h: np.ndarray, feature: np.ndarray, cut: np.ndarray, level: int) -> np.ndarray:
+    """Sums of ``g`` and ``h`` by feature, node of a level and bin; the rows go down the tree grown so far to that level."""
+    node, rows, count = np.zeros(len(g), np.intp), np.arange(len(g)), 2**level
+    for _ in range(level):
+        node = 2 * node + 1 + (seen[feature[node], rows] > cut[node])
+    local = (node - (count - 1)) * BINS
+    out = np.empty((2, len(seen), count * BINS))
+    for j, bins in enumerate(seen):
+        place = local + bins
+        out[0, j], out[1, j] = np.bincount(place, g, count * BINS), np.bincount(place, h, count * BINS)
+    return out.reshape(2, len(seen), count, BINS)
 
-    ``w`` weighs the rows (its mean should be about 1), ``pull`` shrinks leaves with little weight. Equal inputs give equal trees.
+
+def grow(histograms: Callable, cuts: list[int], base: float, rounds: int, depth: int, rate: float = 0.2, columns: float = 0.4, pull: float = 5.0, seed: int = 1) -> Grown:
+    """Newton boosting of the logistic loss; every round sees its groups of rows (``dealt``) and a share of the columns.
+
+    ``histograms(r, out, used, feature, cut, level)`` gives the ``sums`` over the rows of round ``r``, whose scores are those of the
+    trees of ``out`` before ``r``; ``feature`` counts within ``used``. ``cuts`` are the numbers of cuts of the features. ``pull`` shrinks leaves with little weight.
+    Equal rows give equal trees, however they are split and ordered.
     """
     rng = np.random.default_rng(seed)
-    n, width = x.shape
-    edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1], method="lower")) for j in range(width)]
-    binned = np.stack([np.searchsorted(e, x[:, j], side="left") for j, e in enumerate(edges)]).astype(np.uint8)  # by feature, for quick access
-    prior = float(np.clip((w * y).sum() / max(w.sum(), 1e-9), 0.01, 0.99))
-    base = float(np.log(prior / (1 - prior)))
-    score, inner = np.full(n, base), 2**depth - 1
-    out_f, out_t, out_v = np.zeros((rounds, inner), np.intp), np.full((rounds, inner), np.inf, np.float32), np.zeros((rounds, inner + 1))
+    inner = 2**depth - 1
+    out = Grown(np.zeros((rounds, inner), np.intp), np.full((rounds, inner), BINS, np.int32), np.zeros((rounds, inner + 1)), base)
     for r in range(rounds):
-        p = 1 / (1 + np.exp(-score))
-        g, h = w * (y - p), w * p * (1 - p)
-        drawn = np.flatnonzero(rng.random(n) < rows)
-        used = np.flatnonzero(rng.random(width) < columns)
-        node, gd, hd = np.zeros(len(drawn), np.int64), g[drawn], h[drawn]
-        seen = binned[:, drawn]
-        cut = np.full(inner, bins, np.int32)
+        used = np.flatnonzero(rng.random(len(cuts)) < columns)
+        used = used if len(used) else np.arange(len(cuts))
+        feature, cut = np.zeros(inner, np.intp), np.full(inner, BINS, np.int32)
         for level in range(depth):
             first, count = 2**level - 1, 2**level
-            best = np.full(count, 1e-6)
-            local = (node - first) * bins
-            for j in used:
-                place = local + seen[j]
-                a = np.bincount(place, gd, count * bins).reshape(count, bins).cumsum(1)
-                b = np.bincount(place, hd, count * bins).reshape(count, bins).cumsum(1)
-                ta, tb = a[:, -1:], b[:, -1:]
-                gain = a**2 / (b + pull) + (ta - a) ** 2 / (tb - b + pull) - ta**2 / (tb + pull)
-                top = gain.argmax(1)
-                better = gain[np.arange(count), top] > best
-                better &= top < len(edges[j])
-                for i in np.flatnonzero(better):
-                    best[i] = gain[i, top[i]]
-                    out_f[r, first + i], cut[first + i], out_t[r, first + i] = j, top[i], edges[j][top[i]]
-            node = 2 * node + 1 + (seen[out_f[r, node], np.arange(len(drawn))] > cut[node])
-        leaf = node - inner
-        gs, hs = (np.bincount(leaf, z, inner + 1) for z in (gd, hd))
-        out_v[r] = rate * gs / (hs + pull)
-        at = np.zeros(n, np.int64)
-        for _ in range(depth):
-            at = 2 * at + 1 + (binned[out_f[r, at], np.arange(n)] > cut[at])
-        score += out_v[r][at - inner]
-    return Trees(out_f, out_t, out_v, base)
+            a, b = histograms(r, out, used, feature, cut, level).cumsum(-1) / UNIT
+            ta, tb = a[..., -1:], b[..., -1:]
+            gain = a**2 / (b + pull) + (ta - a) ** 2 / (tb - b + pull) - ta**2 / (tb + pull)
+            gain[np.arange(BINS) >= np.array([cuts[j] for j in used])[:, None, None] + np.zeros((1, count, 1), int)] = -1
+            flat = gain.transpose(1, 0, 2).reshape(count, -1)
+            top = flat.argmax(1)
+            for i in range(count):
+                j, at = divmod(int(top[i]), BINS)
+                if flat[i, top[i]] > 1e-6:
+                    feature[first + i], cut[first + i] = j, at
+                if level == depth - 1:
+                    at = min(int(cut[first + i]), BINS - 1)
+                    left = a[feature[first + i], i, at], b[feature[first + i], i, at]
+                    right = ta[0, i, 0] - left[0], tb[0, i, 0] - left[1]
+                    out.value[r, 2 * i : 2 * i + 2] = [rate * gs / (hs + pull) for gs, hs in (left, right)]
+        out.feature[r], out.cut[r] = used[feature], cut
+    return out
+
+
+@dataclass
+class Part:
+    """Rows of one group in memory: bins (one row per feature), labels, weights, and their scores by the first ``known`` trees."""
+
+    binned: np.ndarray
+    y: np.ndarray
+    w: np.ndarray
+    score: np.ndarray | None = None
+    known: int = 0
+
+
+def in_memory(parts: Callable[[int], list[tuple[Part, float]]]) -> Callable:
+    """``histograms`` over parts in memory; ``parts`` gives those of a round, with what their weights are multiplied by."""
+    now: dict = {"round": -1, "rows": []}
+
+    def histograms(r: int, out: Grown, used: np.ndarray, feature: np.ndarray, cut: np.ndarray, level: int) -> np.ndarray:
+        if now["round"] != r:
+            now["round"], now["rows"] = r, []
+            for part, times in parts(r):
+                score = np.full(len(part.y), out.base) if part.score is None else part.score
+                part.score, part.known = out.advance(part.binned, score, part.known, r), r
+                now["rows"].append((part.binned[used], *slopes(part.score, part.y, part.w * times)))
+        total = np.zeros((2, len(used), 2**level, BINS))
+        for seen, g, h in now["rows"]:
+            total += sums(seen, g, h, feature, cut, level)
+        return total
+
+    return histograms
+
+
+def boost(x: np.ndarray, y: np.ndarray, w: np.ndarray, rounds: int, depth: int, seed: int = 1) -> Trees:
+    """Trees fitted to all rows of a table of numbers in memory; ``w`` weighs the rows (its mean should be about 1)."""
+    edges = [np.unique(np.quantile(column, np.linspace(0, 1, BINS + 1)[1:-1], method="lower")) for column in x.T]
+    binned = np.stack([np.searchsorted(e, column, side="left") for e, column in zip(edges, x.T, strict=True)]).astype(np.uint8)
+    group = np.random.default_rng(seed).integers(0, STRATA, len(y))
+    groups = [Part(binned[:, group == s], y[group == s], w[group == s]) for s in range(STRATA)]
+    prior = float(np.clip((w * y).sum() / max(w.sum(), 1e-9), 0.01, 0.99))
+    grown = grow(in_memory(lambda r: [(groups[s], 1.0) for s in dealt(r, MOST_STRATA)]), [len(e) for e in edges], float(np.log(prior / (1 - prior))), rounds, depth, seed=seed)
+    return grown.trees(edges)

@@ -458,6 +458,44 @@ def test_kinds_of_junk_that_no_label_names(spark, monkeypatch):
     assert a.sum() > 100 and (a & b).sum() >= 0.93 * a.sum() and (a & b).sum() >= 0.93 * b.sum()
 
 
+def test_every_text_teaches(spark):
+    """Words that stand in two of 4,000 texts each are all known, whatever texts they stand in."""
+    letters = "bcdfghjklmnpqrstvwxz"
+    words = ["q" + "".join(letters[i // 20**k % 20] + "a" for k in range(3)) for i in range(2000)]
+    df = spark.createDataFrame([(i, f"The clerk said in the letter number {i} that the {words[i % 2000]} was not to be found.") for i in range(4000)], "doc_id bigint, text string")
+    language = quality.train(df).language
+    spot = np.minimum(np.searchsorted(language.words, quality._hashed(words)), len(language.words) - 1)
+    assert ((language.words[spot] == quality._hashed(words)) & ((language.flags[spot] & 2) != 0)).all()
+
+
+def test_a_judge_does_not_depend_on_where_it_is_trained(spark, monkeypatch):
+    """In memory, in one task and by all tasks, from rows in any parts, the same judge is learned."""
+    monkeypatch.setattr(quality, "ROUNDS", 4)
+    monkeypatch.setattr(quality, "MADE_UP_DOCUMENTS", 150)
+    monkeypatch.setattr(quality, "ROUND_PASSAGES", 300)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = [r["text"] for r in docs.where("text is not null").collect()]
+    judges = [quality.fit(texts, 150), quality.train(docs)]
+    monkeypatch.setattr(quality, "ONE_TASK", 0)
+    judges.append(quality.train(docs.union(docs.limit(30)).repartition(5)))
+    numbers = [[j.trees.feature, j.trees.threshold, j.trees.value, j.language.words, j.language.flags, j.language.own, j.language.usual, np.array([j.trees.base, j.slope, j.offset])] for j in judges]
+    assert all(np.array_equal(a, b) for other in numbers[1:] for a, b in zip(numbers[0], other, strict=True))
+
+
+@pytest.mark.parametrize("few", range(1, boosting.MOST_STRATA + 1))
+def test_all_groups_of_passages_are_dealt_equally(few):
+    seen = [g for r in range(quality.ROUNDS) for g in boosting.dealt(r, few)]
+    assert [seen.count(g) for g in range(boosting.STRATA)] == [quality.ROUNDS * few // boosting.STRATA] * boosting.STRATA
+
+
+def test_codes_of_statistics():
+    whole = np.arange(512)
+    assert (quality.decoded(quality.encoded(whole)) == whole).all()
+    x = np.sort(np.random.default_rng(5).normal(size=4000) * np.random.default_rng(6).choice([1e-8, 0.01, 1, 100], 4000)).astype(np.float32)
+    c = quality.encoded(x)
+    assert (np.diff(c) >= 0).all() and (quality.encoded(quality.decoded(c)) == c).all() and np.abs(quality.decoded(c) - x).max() <= np.abs(x).max() / 256
+
+
 def test_trees_learn():
     r = np.random.default_rng(3)
     x = r.normal(size=(3000, 5)).astype(np.float32)
