@@ -13,6 +13,62 @@ BINS, STRATA, MOST_STRATA = 64, 20, 7
 UNIT = 2.0**30
 
 
+#: Rows that walk down a tree together, few enough for a processor's cache.
+WALKED = 65_536
+
+
+def walked(columns: np.ndarray, feature: np.ndarray, limit: np.ndarray, most: float) -> np.ndarray:
+    """The node of the level below the given ones that every row comes to, counted from 0; ``columns`` has one row per feature.
+
+    Rows above the limit of a node go right, none where it is ``most`` or more. All nodes are compared with whole columns, and each
+    level's bits are chosen by those of the levels before.
+    """
+    if columns.shape[1] > WALKED:
+        return np.concatenate([walked(x, feature, limit, most) for x in _parts(columns)])
+    # plain numbers take the type of the columns
+    bits, feature, limit = [], feature.tolist(), limit.tolist()
+    out, first = np.zeros(columns.shape[1], np.intp if len(feature) > 127 else np.uint8), 0
+    while first < len(feature):
+        # None: all go left
+        above = [None if limit[i] >= most else (columns[feature[i]] > limit[i]).view(np.uint8) for i in range(first, 2 * first + 1)]
+        for bit in bits:
+            half = len(above) // 2
+            above = [_chosen(bit, *pair) for pair in zip(above[:half], above[half:], strict=True)]
+        bits.append(above[0])
+        out += out
+        if above[0] is not None:
+            out += above[0]
+        first = 2 * first + 1
+    return out
+
+
+def _chosen(bit: np.ndarray | None, no: np.ndarray | None, yes: np.ndarray | None) -> np.ndarray | None:
+    if bit is None or yes is no is None:
+        return no
+    if no is None:
+        return np.bitwise_and(yes, bit, out=yes)
+    if yes is None:
+        return np.greater(no, bit, out=no.view(bool)).view(np.uint8)
+    np.bitwise_xor(yes, no, out=yes)
+    np.bitwise_and(yes, bit, out=yes)
+    return np.bitwise_xor(yes, no, out=yes)
+
+
+def _parts(columns: np.ndarray) -> list[np.ndarray]:
+    return [columns[:, i : i + WALKED] for i in range(0, columns.shape[1], WALKED)]
+
+
+def added(total: np.ndarray, columns: np.ndarray, features: np.ndarray, limits: np.ndarray, values: np.ndarray, most: float) -> np.ndarray:
+    """Add to ``total`` what trees say of the rows, one tree after the other."""
+    at = 0
+    for x in _parts(columns):
+        part = total[at : at + x.shape[1]]
+        for feature, limit, value in zip(features, limits, values, strict=True):
+            part += value.take(walked(x, feature, limit, most).astype(np.intp))
+        at += x.shape[1]
+    return total
+
+
 @dataclass
 class Trees:
     """Complete trees of one depth: ``feature`` and ``threshold`` of the inner nodes, ``value`` of the leaves, one row per tree."""
@@ -24,15 +80,11 @@ class Trees:
 
     def margins(self, x: np.ndarray) -> np.ndarray:
         """Log odds of rows before calibration, above zero for the label 1."""
-        total, n, width = np.full(len(x), self.base), len(x), x.shape[1]
-        inner = self.feature.shape[1]
-        flat, rows = np.ascontiguousarray(x, np.float32).ravel(), np.arange(n, dtype=np.intp) * width
-        for feature, threshold, value in zip(self.feature, self.threshold, self.value, strict=True):
-            at = np.zeros(n, np.intp)
-            while at.size and at[0] < inner:
-                at = 2 * at + 1 + (flat[rows + feature[at]] > threshold[at])
-            total += value[at - inner]
-        return total
+        return self.totals(np.ascontiguousarray(np.asarray(x, np.float32).T), self.threshold, np.inf)
+
+    def totals(self, columns: np.ndarray, limits: np.ndarray, most: float) -> np.ndarray:
+        """The same of rows given as one row per feature, in other units than those of ``threshold`` (``limits``)."""
+        return added(np.full(columns.shape[1], self.base), columns, self.feature, limits, self.value, most)
 
 
 @dataclass
@@ -46,14 +98,7 @@ class Grown:
 
     def advance(self, binned: np.ndarray, score: np.ndarray, first: int, last: int) -> np.ndarray:
         """Add what the trees from ``first`` up to ``last`` say; ``binned`` has one row per feature."""
-        n, inner = binned.shape[1], self.feature.shape[1]
-        flat, rows = binned.ravel(), np.arange(n, dtype=np.intp)
-        for r in range(first, last):
-            at, place = np.zeros(n, np.intp), self.feature[r] * n
-            while at.size and at[0] < inner:
-                at = 2 * at + 1 + (flat[place[at] + rows] > self.cut[r][at])
-            score = score + self.value[r][at - inner]
-        return score
+        return added(score.copy(), binned, self.feature[first:last], self.cut[first:last], self.value[first:last], BINS)
 
     def trees(self, thresholds: list[np.ndarray]) -> Trees:
         """The same trees on numbers; ``thresholds`` has, per feature, the number that each cut stands for."""
@@ -76,10 +121,8 @@ def slopes(score: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray,
 
 def sums(seen: np.ndarray, g: np.ndarray, h: np.ndarray, feature: np.ndarray, cut: np.ndarray, level: int) -> np.ndarray:
     """Sums of ``g`` and ``h`` by feature, node of a level and bin; the rows go down the tree grown so far to that level."""
-    node, rows, count = np.zeros(len(g), np.intp), np.arange(len(g)), 2**level
-    for _ in range(level):
-        node = 2 * node + 1 + (seen[feature[node], rows] > cut[node])
-    local = (node - (count - 1)) * BINS
+    count = 2**level
+    local = walked(seen, feature[: count - 1], cut[: count - 1], BINS).astype(np.intp) * BINS
     out = np.empty((2, len(seen), count * BINS))
     for j, bins in enumerate(seen):
         place = local + bins

@@ -1,6 +1,7 @@
 """Operators for training data against brute force, planted truth and exact accounts."""
 
 import random
+from collections import Counter
 from pathlib import Path
 from urllib.parse import urlparse
 
@@ -482,6 +483,50 @@ def test_a_judge_does_not_depend_on_where_it_is_trained(spark, monkeypatch):
     assert all(np.array_equal(a, b) for other in numbers[1:] for a, b in zip(numbers[0], other, strict=True))
 
 
+def test_characters_are_read_once(monkeypatch):
+    """The order of words and the statistics that depend on the language come from the units found at the first reading."""
+    read, codes = Counter(), quality._Codes.__init__
+    monkeypatch.setattr(quality._Codes, "__init__", lambda self, plain, *a: (read.update(plain), codes(self, plain, *a))[1])
+    monkeypatch.setattr(quality, "ROUNDS", 2)
+    lines = [listing(i) for i in range(300)]
+    quality.fit([prose(i) + "\n" + line for i, line in enumerate(lines)], 60)
+    assert {read[line] for line in lines} == {1}
+
+
+def test_words_are_counted_as_they_are_written():
+    """Counts of words in small letters by their numbers equal those of a reading word by word."""
+    r = random.Random(8)
+    some = "the The tHe iphone iPhone eBay McDonald İstanbul ıslak ǅep straße 漢字かなthe ไทย x1y don't co-op 𐐀a ﬁn été ÉTÉ ªb".split()
+    ps = [" ".join(r.choice(some) for _ in range(r.randint(1, 9))) for _ in range(400)]
+    flags, slow, fast = np.array([r.random() < 0.7 for _ in ps]), Counter(), Counter()
+    quality.count_words([p for p, f in zip(ps, flags, strict=True) if f], slow)
+    z = quality._Codes(ps)
+    z.units()
+    quality.count_lower_words(z, flags, fast)
+    assert dict(quality.lower_words(fast)) == dict(quality.lower_words(slow))
+
+
+@pytest.mark.parametrize("depth", (1, 3, 6, 8))
+def test_rows_walk_down_trees(depth, monkeypatch):
+    """Rows that walk together come to the leaves that each finds alone, also by codes of numbers."""
+    monkeypatch.setattr(boosting, "WALKED", 300)
+    r, inner = np.random.default_rng(depth), 2**depth - 1
+    x = r.normal(size=(1000, 5)).astype(np.float32)
+    x = quality.decoded(quality.encoded(np.where(r.random(x.shape) < 0.2, 0, x)))
+    threshold = np.where(r.random((4, inner)) < 0.3, np.inf, r.choice(np.append(x.ravel(), 0), (4, inner))).astype(np.float32)
+    trees = boosting.Trees(r.integers(0, 5, (4, inner)), threshold, r.normal(size=(4, inner + 1)), 0.5)
+    alone = np.full(len(x), 0.5)
+    for feature, limit, value in zip(trees.feature, threshold, trees.value, strict=True):
+        for i, row in enumerate(x):
+            at = 0
+            while at < inner:
+                at = 2 * at + 1 + int(row[feature[at]] > limit[at])
+            alone[i] += value[at - inner]
+    assert (trees.margins(x) == alone).all()
+    judge = quality.Judge(quality.plain_language(), trees)
+    assert (judge.probabilities_of_codes(quality.encoded(x.T)) == judge.probabilities(x)).all()
+
+
 @pytest.mark.parametrize("few", range(1, boosting.MOST_STRATA + 1))
 def test_all_groups_of_passages_are_dealt_equally(few):
     seen = [g for r in range(quality.ROUNDS) for g in boosting.dealt(r, few)]
