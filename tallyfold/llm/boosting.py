@@ -120,9 +120,16 @@ def slopes(score: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray,
 
 
 def sums(seen: np.ndarray, g: np.ndarray, h: np.ndarray, feature: np.ndarray, cut: np.ndarray, level: int) -> np.ndarray:
-    """Sums of ``g`` and ``h`` by feature, node of a level and bin; the rows go down the tree grown so far to that level."""
-    count = 2**level
-    local = walked(seen, feature[: count - 1], cut[: count - 1], BINS).astype(np.intp) * BINS
+    """Sums of ``g`` and ``h`` by feature, node and bin; the rows go down the tree grown so far to that level.
+
+    Below the first level only the left nodes have sums: what their parents have beyond them are those of the right ones (``whole``).
+    """
+    inner, count = 2**level - 1, summed_nodes(level)
+    node = walked(seen, feature[:inner], cut[:inner], BINS)
+    if level:
+        left = np.flatnonzero((node & 1) == 0)
+        seen, g, h, node = seen.take(left, axis=1), g[left], h[left], node[left] >> 1
+    local = node.astype(np.intp) * BINS
     out = np.empty((2, len(seen), count * BINS))
     for j, bins in enumerate(seen):
         place = local + bins
@@ -130,6 +137,15 @@ def sums(seen: np.ndarray, g: np.ndarray, h: np.ndarray, feature: np.ndarray, cu
     return out.reshape(2, len(seen), count, BINS)
 
 
+def summed_nodes(level: int) -> int:
+    return 2 ** max(level - 1, 0)
+
+
+def whole(summed: np.ndarray, above: np.ndarray | None) -> np.ndarray:
+    """The sums of all nodes of a level from those of the left ones and of the level above; whole numbers, so nothing is lost."""
+    return summed if above is None else np.stack([summed, above - summed], axis=3).reshape(*summed.shape[:2], -1, BINS)
+
+
 def grow(histograms: Callable, cuts: list[int], base: float, rounds: int, depth: int, rate: float = 0.2, columns: float = 0.4, pull: float = 5.0, seed: int = 1) -> Grown:
     """Newton boosting of the logistic loss; every round sees its groups of rows (``dealt``) and a share of the columns.
 
@@ -143,10 +159,11 @@ def grow(histograms: Callable, cuts: list[int], base: float, rounds: int, depth:
     for r in range(rounds):
         used = np.flatnonzero(rng.random(len(cuts)) < columns)
         used = used if len(used) else np.arange(len(cuts))
-        feature, cut = np.zeros(inner, np.intp), np.full(inner, BINS, np.int32)
+        feature, cut, summed = np.zeros(inner, np.intp), np.full(inner, BINS, np.int32), None
         for level in range(depth):
             first, count = 2**level - 1, 2**level
-            a, b = histograms(r, out, used, feature, cut, level).cumsum(-1) / UNIT
+            summed = whole(histograms(r, out, used, feature, cut, level), summed)
+            a, b = summed.cumsum(-1) / UNIT
             ta, tb = a[..., -1:], b[..., -1:]
             gain = a**2 / (b + pull) + (ta - a) ** 2 / (tb - b + pull) - ta**2 / (tb + pull)
             gain[np.arange(BINS) >= np.array([cuts[j] for j in used])[:, None, None] + np.zeros((1, count, 1), int)] = -1
@@ -178,19 +195,17 @@ class Part:
 
 def in_memory(parts: Callable[[int], list[tuple[Part, float]]]) -> Callable:
     """``histograms`` over parts in memory; ``parts`` gives those of a round, with what their weights are multiplied by."""
-    now: dict = {"round": -1, "rows": []}
+    now: dict = {"round": -1, "rows": ()}
 
     def histograms(r: int, out: Grown, used: np.ndarray, feature: np.ndarray, cut: np.ndarray, level: int) -> np.ndarray:
         if now["round"] != r:
-            now["round"], now["rows"] = r, []
+            seen = []
             for part, times in parts(r):
                 score = np.full(len(part.y), out.base) if part.score is None else part.score
                 part.score, part.known = out.advance(part.binned, score, part.known, r), r
-                now["rows"].append((part.binned[used], *slopes(part.score, part.y, part.w * times)))
-        total = np.zeros((2, len(used), 2**level, BINS))
-        for seen, g, h in now["rows"]:
-            total += sums(seen, g, h, feature, cut, level)
-        return total
+                seen.append((part.binned[used], *slopes(part.score, part.y, part.w * times)))
+            now["round"], now["rows"] = r, [np.concatenate(x, axis=-1) for x in zip(*seen, strict=True)]
+        return sums(*now["rows"], feature, cut, level) if now["rows"] else np.zeros((2, len(used), summed_nodes(level), BINS))
 
     return histograms
 
